@@ -188,3 +188,24 @@ def test_cooccurrence_closed_form(spark):
     df = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b"), ("v", "b")], "user string, item string")
     got = dict(((a, b), w) for a, b, w in rows(E.cooccurrence(df, "user", "item"), "a", "b", "w"))
     assert got == {("a", "a"): 2, ("a", "b"): 2, ("b", "a"): 2}
+
+
+def test_dump_scan_and_stream(spark, tmp_path):
+    import json
+    from tribewise.sources import readers, sinks
+    from tribewise.streaming import ingest
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    recs = [{"id": "1", "author": "a", "subreddit": "nba", "body": "x", "created_utc": 1506816000, "extra": 1},
+            {"id": "2", "author": "[deleted]", "subreddit": "nba", "body": "y", "created_utc": 1506816000},
+            {"id": "3", "author": "b", "subreddit": "u_b", "body": "z", "created_utc": 1506816000}]
+    (folder / "c1.json").write_text("\n".join(json.dumps(r) for r in recs) + "\n{bad json\n")
+    df = readers.read_dump(spark, str(folder))
+    assert "extra" not in df.columns and df.count() == 4
+    q = ingest.start_counts(spark, str(folder), str(tmp_path / "ckpt"), "tw_counts_test")
+    q.processAllAvailable()
+    got = {r["subreddit"]: r["count"] for r in spark.sql("select * from tw_counts_test").collect()}
+    q.stop()
+    assert got == {"nba": 1}
+    sinks.write_counts(spark.createDataFrame([("nba", 1)], "subreddit string, count long"), str(tmp_path / "counts"))
+    assert readers.read_vocabulary(spark, str(tmp_path / "counts")).collect()[0]["count"] == 1

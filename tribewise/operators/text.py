@@ -120,17 +120,17 @@ def term_probabilities(class_tf: DataFrame, class_col: str, term_col: str = "ter
 
 def _ranked(probs: DataFrame, class_col: str, term_col: str, score, order_key, k: int,
             bottom: bool) -> DataFrame:
-    dirs = [("top", order_key.desc())] + ([("bottom", order_key.asc())] if bottom else [])
-    parts = []
-    for name, o in dirs:
-        w = Window.partitionBy(class_col).orderBy(o, F.col(term_col).asc())
-        parts.append(probs.select(class_col, term_col, score.alias("score"),
-                                  F.row_number().over(w).alias("rank"), F.lit(name).alias("direction"))
-                     .where(F.col("rank") <= k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Top (and bottom) k per class in one pass: both ranks are computed in
+    the same projection, then each kept (row, direction) is emitted once."""
+    w_top = Window.partitionBy(class_col).orderBy(order_key.desc(), F.col(term_col).asc())
+    ranked = probs.select(class_col, term_col, score.alias("score"), F.row_number().over(w_top).alias("_rt"),
+                          *([F.row_number().over(Window.partitionBy(class_col).orderBy(
+                              order_key.asc(), F.col(term_col).asc())).alias("_rb")] if bottom else []))
+    dirs = [F.when(F.col("_rt") <= k, F.struct(F.lit("top").alias("direction"), F.col("_rt").alias("rank")))]
+    if bottom:
+        dirs.append(F.when(F.col("_rb") <= k, F.struct(F.lit("bottom").alias("direction"), F.col("_rb").alias("rank"))))
+    out = ranked.select(class_col, term_col, "score", F.explode(F.filter(F.array(*dirs), lambda x: x.isNotNull())).alias("_d"))
+    return out.select(class_col, term_col, "score", F.col("_d.rank").alias("rank"), F.col("_d.direction").alias("direction"))
 
 
 def pmi_labels(class_tf: DataFrame, class_col: str, k: int = 10, term_col: str = "term",

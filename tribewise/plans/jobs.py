@@ -7,6 +7,7 @@ separate calls so a caller decides where and how results are written.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tribewise import schemas as S
 from tribewise.operators import activity as A
@@ -35,3 +36,141 @@ def community2vec_prep(comments: DataFrame, top_n: int = S.DEFAULT_TOP_N,
                                              exclude_top_perc=exclude_top_perc,
                                              keep_context_col=keep_context_col)
     return counts, contexts
+
+
+def bag_of_words_prep(comments: DataFrame, submissions: DataFrame, top_n: int = S.DEFAULT_TOP_N,
+                      top_n_from: str = "comments", exclude_top_perc: float = S.DEFAULT_USER_EXCLUDE,
+                      max_time_delta: int | None = None, min_time_delta: int | None = None) -> DataFrame:
+    """Comments and submissions -> joined thread pairs.
+
+    F1 on both, top-n communities from either side, semi join both (J1),
+    deleted text and authors removed (F3, F2), top users of the comments
+    removed (J2), fullname prefix (F5), pair join (J3) and time window (F4,
+    both bounds tested with ``is not None``).
+    """
+    from tribewise.operators.threads import join_submissions_and_comments
+    c = FL.filter_by_regex(comments)
+    s = FL.filter_by_regex(submissions)
+    counts = A.get_top_n_counts(c if top_n_from == "comments" else s, S.COMMUNITY, top_n)
+    c = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(c, counts, n_bound=top_n), S.COMMENTS))
+    s = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(s, counts, n_bound=top_n), S.SUBMISSIONS))
+    c = A.filter_out_top_users(c, S.AUTHOR, exclude_top_perc)
+    s = FL.prefix_id_column(s, S.SUBMISSIONS)
+    pairs = join_submissions_and_comments(s, c)
+    return FL.filter_by_time_delta(pairs, max_time_delta, min_time_delta)
+
+
+def drop_percentage_sweep(comments: DataFrame, submissions: DataFrame, percentages=(0.0, 0.02, 0.05, 0.1),
+                          **kw) -> dict[float, DataFrame]:
+    """P2 once per user-drop setting (lazy plans; the caller writes each)."""
+    return {p: bag_of_words_prep(comments, submissions, exclude_top_perc=p, **kw) for p in percentages}
+
+
+def text_job(pairs: DataFrame, min_df: float = 0.05, max_df: float = 0.95, vocab_size: int = 1 << 18,
+             stop_language: str | None = "english", use_idf: bool = False, max_time_delta=None, min_time_delta=None):
+    """P4 (X6 + A8): pairs -> documents -> tokens -> vocabulary -> vectors.
+
+    Returns (documents with tokens/vectors, vocabulary, length statistics).
+    """
+    from tribewise.functions.text import remove_stop_words, tokenize
+    from tribewise.operators import text as T
+    from tribewise.operators.threads import documents_from_pairs
+    docs = documents_from_pairs(pairs, max_time_delta=max_time_delta, min_time_delta=min_time_delta)
+    docs = docs.withColumn(S.TOKENS, tokenize(S.DOC_TEXT))
+    words = S.TOKENS
+    if stop_language:
+        docs = docs.withColumn(S.FILTERED_TOKENS, remove_stop_words(S.TOKENS, language=stop_language))
+        words = S.FILTERED_TOKENS
+    tf = T.term_frequencies(docs.select(F.col("id").alias("doc_id"), words), "doc_id", words)
+    vocab = T.fit_vocabulary(tf, docs, "doc_id", min_df=min_df, max_df=max_df, vocab_size=vocab_size)
+    vec, _ = T.to_count_vectors(docs, words, vocab)
+    if use_idf:
+        from pyspark.ml.feature import IDF
+        vec = IDF(inputCol=S.VECTORIZED, outputCol="tfidf").fit(vec).transform(vec)
+    _, stats = A.document_length_statistics(docs, S.TOKENS)
+    return vec, vocab, stats
+
+
+def embedding_job(contexts: DataFrame, analogies: DataFrame, grid: dict, tokens_col: str = S.CONTEXT_OUT, **fixed):
+    """P5 (A6 -> E10): window = longest context, then the Word2Vec grid."""
+    from tribewise.operators.embeddings import grid_search
+    if dict(contexts.dtypes)[tokens_col] == "string":
+        contexts = contexts.withColumn(tokens_col, F.split(tokens_col, " "))
+    window = contexts.agg(F.max(F.size(tokens_col))).first()[0] or 5
+    fixed.setdefault("window", int(window))
+    return grid_search(contexts, tokens_col, analogies, grid, fixed=fixed)
+
+
+def cluster_job(vectors: DataFrame, kind: str, model_name: str, key_col: str = "key", vec_col: str = "vector",
+                counts: DataFrame | None = None, **params):
+    """Fit, metrics (M1-M3 as one row), clusters table, keyword table.
+
+    Returns (clusters (model, key, cluster), metrics row, members-per-cluster table).
+    """
+    from tribewise.operators import clusters as CL
+    from tribewise.operators import quality as Q
+    from tribewise.operators.compare import cluster_members_string
+    assign, _ = CL.fit_clusters(vectors, kind, key_col, vec_col, **params)
+    data = vectors.join(assign, key_col)
+    sil = Q.silhouette_score(data, key_col, vec_col, "cluster").withColumn("_k", F.lit(1))
+    ch = Q.calinski_harabasz_score(data, vec_col, "cluster").withColumn("_k", F.lit(1))
+    db = Q.davies_bouldin_score(data, vec_col, "cluster").withColumn("_k", F.lit(1))
+    metrics = sil.join(ch, "_k").join(db, "_k").drop("_k").withColumn("model", F.lit(model_name))
+    table = CL.results_table(assign, model_name, counts, key_col)
+    keywords = cluster_members_string(assign, key_col)
+    return table, metrics, keywords
+
+
+def cluster_count_sweep(vectors: DataFrame, ks, kinds=("kmeans",), key_col: str = "key", vec_col: str = "vector"):
+    """Metrics for each (kind, k) plus cluster-size spread (A17), as one long table."""
+    from tribewise.operators import clusters as CL
+    from tribewise.operators import quality as Q
+    from tribewise.operators.compare import cluster_size_stats
+    out = None
+    for kind in kinds:
+        for k in ks:
+            assign, _ = CL.fit_clusters(vectors, kind, key_col, vec_col, n_clusters=k)
+            data = vectors.join(assign, key_col)
+            row = (Q.silhouette_score(data, key_col, vec_col, "cluster").withColumn("_k", F.lit(1))
+                   .join(Q.calinski_harabasz_score(data, vec_col, "cluster").withColumn("_k", F.lit(1)), "_k")
+                   .join(cluster_size_stats(assign).withColumn("_k", F.lit(1)), "_k").drop("_k")
+                   .withColumn("kind", F.lit(kind)).withColumn("k", F.lit(k)))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def monthly_pipeline(months: dict, top_n: int, analogies: DataFrame, grid: dict, kinds=("kmeans", "agglomerative"),
+                     n_clusters: int = 100):
+    """Per month P1 -> P5 -> E12 and P6 for each kind (scheduling is the caller's)."""
+    from tribewise.operators.embeddings import pca_projection
+    results = {}
+    for month, comments in months.items():
+        counts, contexts = community2vec_prep(comments, top_n=top_n)
+        res, vecs, best = embedding_job(contexts.withColumn(S.CONTEXT_OUT, F.split(S.CONTEXT_OUT, " ")), analogies, grid)
+        clusters = {kind: cluster_job(vecs, kind, f"{month}_{kind}", counts=counts.withColumnRenamed(S.COMMUNITY, "key"),
+                                      n_clusters=n_clusters) for kind in kinds}
+        results[month] = {"counts": counts, "grid": res, "best": best, "projection": pca_projection(vecs, 2),
+                          "clusters": clusters}
+    return results
+
+
+def lda_pipeline(comments: DataFrame, submissions: DataFrame, num_topics: int = 250, **text_kw):
+    """P2 -> P4 -> C8 with assignments and top terms."""
+    from tribewise.operators import topics as TP
+    pairs = bag_of_words_prep(comments, submissions)
+    vec, vocab, _ = text_job(pairs, **text_kw)
+    model = TP.fit_lda(vec, S.VECTORIZED, num_topics=num_topics)
+    return model, TP.topic_assignments(model, vec.withColumnRenamed("id", "doc_id"), "doc_id"), TP.top_terms(model, vocab)
+
+
+def explorer_tables(vectors: DataFrame, n_clusters: int, selected_keys: DataFrame, selected_clusters: DataFrame,
+                    keep_clusters=(), key_col: str = "key", vec_col: str = "vector"):
+    """K-means + metrics + projection joined, an 'other' bucket and the selection union."""
+    from tribewise.operators import annotate as AN
+    from tribewise.operators import clusters as CL
+    from tribewise.operators.embeddings import pca_projection
+    assign, _ = CL.kmeans(vectors, n_clusters, key_col=key_col, vec_col=vec_col)
+    table = assign.join(pca_projection(vectors, 2, key_col, vec_col), key_col)
+    table = FL.assign_other_category(table, "cluster", "cluster_bucket", keep_clusters)
+    selection = AN.selection_union(table, key_col, "cluster", selected_keys, selected_clusters)
+    return table, selection
