@@ -209,3 +209,16 @@ def test_dump_scan_and_stream(spark, tmp_path):
     assert got == {"nba": 1}
     sinks.write_counts(spark.createDataFrame([("nba", 1)], "subreddit string, count long"), str(tmp_path / "counts"))
     assert readers.read_vocabulary(spark, str(tmp_path / "counts")).collect()[0]["count"] == 1
+
+
+def test_bag_of_words_job(spark):
+    from tribewise.plans.jobs import bag_of_words_prep
+    subs = spark.createDataFrame(
+        [("s1", "x", 100, "a", "t1", "nba"), ("s2", "y", 100, "[removed]", "t2", "nba"), ("s3", "[deleted]", 100, "c", "t3", "nba")],
+        "id string, author string, created_utc long, selftext string, title string, subreddit string")
+    com = spark.createDataFrame(
+        [("c1", "t3_s1", "p", 150, "hi", "nba"), ("c2", "t3_s1", "q", 90, "yo", "nba"), ("c3", "t3_s2", "p", 120, "ok", "nba"),
+         ("c4", "t3_s1", "[deleted]", 130, "no", "nba")],
+        "id string, link_id string, author string, created_utc long, body string, subreddit string")
+    pairs = bag_of_words_prep(com, subs, top_n=10, exclude_top_perc=0.0, min_time_delta=0)
+    assert rows(pairs, "id", "comments_id", "time_to_comment_in_seconds") == [("s1", "c1", 50)]
