@@ -65,3 +65,17 @@ def remove_stop_words(tokens: Column | str, stop_words=None, language: str | Non
 def sql_string_list(values) -> str:
     """DuckDB list literal of strings (for oracles)."""
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def remove_stop_words_df(df, in_col: str, out_col: str | None = None, stop_words=None,
+                         language: str | None = "english", case_sensitive: bool = False):
+    """X2 on a DataFrame with Spark ML's ``StopWordsRemover`` (a JVM hash-set
+    lookup per token: several times faster than ``array_contains`` over a
+    literal list).  Replaces ``in_col`` when ``out_col`` is None."""
+    from pyspark.ml.feature import StopWordsRemover
+    words = list(stop_words) if stop_words is not None else list(default_stop_words(language or "english"))
+    tmp = out_col or f"_{in_col}_nostop"
+    out = StopWordsRemover(inputCol=in_col, outputCol=tmp, stopWords=words, caseSensitive=case_sensitive).transform(df)
+    if out_col is None:
+        out = out.drop(in_col).withColumnRenamed(tmp, in_col)
+    return out

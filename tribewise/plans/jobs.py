@@ -72,14 +72,14 @@ def text_job(pairs: DataFrame, min_df: float = 0.05, max_df: float = 0.95, vocab
 
     Returns (documents with tokens/vectors, vocabulary, length statistics).
     """
-    from tribewise.functions.text import remove_stop_words, tokenize
+    from tribewise.functions.text import remove_stop_words_df, tokenize
     from tribewise.operators import text as T
     from tribewise.operators.threads import documents_from_pairs
     docs = documents_from_pairs(pairs, max_time_delta=max_time_delta, min_time_delta=min_time_delta)
     docs = docs.withColumn(S.TOKENS, tokenize(S.DOC_TEXT))
     words = S.TOKENS
     if stop_language:
-        docs = docs.withColumn(S.FILTERED_TOKENS, remove_stop_words(S.TOKENS, language=stop_language))
+        docs = remove_stop_words_df(docs, S.TOKENS, S.FILTERED_TOKENS, language=stop_language)
         words = S.FILTERED_TOKENS
     tf = T.term_frequencies(docs.select(F.col("id").alias("doc_id"), words), "doc_id", words)
     vocab = T.fit_vocabulary(tf, docs, "doc_id", min_df=min_df, max_df=max_df, vocab_size=vocab_size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tribewise.functions.text import TOKEN_PATTERN, default_stop_words, remove_stop_words, sql_string_list, tokenize
+from tribewise.functions.text import TOKEN_PATTERN, default_stop_words, remove_stop_words_df, sql_string_list, tokenize
 from tribewise.operators import activity as A
 from tribewise.operators import filters as FL
 from tribewise.operators import text as T
@@ -109,7 +109,7 @@ def docs_tokens(spark, d):
 
 
 def docs_filtered(spark, d):
-    return docs_tokens(spark, d).withColumn("tokens", remove_stop_words("tokens"))
+    return remove_stop_words_df(docs_tokens(spark, d), "tokens")
 
 
 def docs_tf(spark, d):
