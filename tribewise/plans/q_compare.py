@@ -252,3 +252,18 @@ def alignment_chains(spark, d):
     chains = C.alignment_chains([labs["label"], labs["argmax"], labs["signs"]])
     members = C.cluster_members_string(labs["label"]).withColumnRenamed("cluster", "step_0")
     return chains.join(members, "step_0", "left")
+
+
+@query("experiment_pick", """
+WITH v AS (SELECT model_a || '/' || model_b AS pair, vi FROM (""" + _EMB_LABELS_SQL.replace("WITH ", "WITH ", 1)
+       + ",\nvv AS (" + _vi_pairs_sql() + """)
+SELECT CASE model_a WHEN 'lab' THEN 'label' WHEN 'arg' THEN 'argmax' ELSE 'signs' END AS model_a,
+       CASE model_b WHEN 'lab' THEN 'label' WHEN 'arg' THEN 'argmax' ELSE 'signs' END AS model_b, vi FROM vv))
+SELECT arg_min(pair, struct_pack(v := vi, p := pair)) AS min_id, round(min(vi), 6) + 0.0 AS min_value,
+       arg_min(pair, struct_pack(v := -vi, p := pair)) AS max_id, round(max(vi), 6) + 0.0 AS max_value FROM v""")
+def experiment_pick(spark, d):
+    """The labeling pairs with the smallest and largest VI."""
+    from tribewise.operators.tables import min_max_pick
+    v = _vi_long(spark, d).select(F.concat_ws("/", "model_a", "model_b").alias("pair"), "vi")
+    out = min_max_pick(v, "pair", "vi")
+    return out.select("min_id", r6("min_value").alias("min_value"), "max_id", r6("max_value").alias("max_value"))
