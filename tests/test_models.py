@@ -72,3 +72,50 @@ def test_affinity_matches_numpy(spark):
     Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     ref = _sklearn_like_ap(-(1 - Xn @ Xn.T))
     assert _partition([(r["key"], r["cluster"]) for r in got]) == _partition(list(enumerate(ref)))
+
+
+def test_dbscan_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    centers = rng.standard_normal((3, 6)) * 3
+    X = np.vstack([centers[i % 3] + rng.standard_normal(6) * 0.4 for i in range(45)] + [rng.standard_normal(6) * 5])
+    eps, ms = 0.05, 4
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "key long, vector array<double>")
+    got = CL.dbscan(df, eps=eps, min_samples=ms).collect()
+    Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
+    D = 1 - Xn @ Xn.T
+    n = len(X)
+    nb = [(D[i] <= eps) & (np.arange(n) != i) for i in range(n)]
+    core = np.array([nb[i].sum() + 1 >= ms for i in range(n)])
+    comp = -np.ones(n, dtype=int)
+    for s in np.flatnonzero(core):
+        if comp[s] >= 0:
+            continue
+        stack, comp[s] = [s], s
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(nb[i] & core):
+                if comp[j] < 0:
+                    comp[j] = s
+                    stack.append(j)
+    for i in np.flatnonzero(~core):
+        cand = np.flatnonzero(nb[i] & core)
+        if len(cand):
+            comp[i] = comp[cand[np.lexsort((comp[cand], D[i, cand]))[0]]]
+    ref = [(i, int(c)) for i, c in enumerate(comp)]
+    noise_ref = sorted(i for i, c in ref if c < 0)
+    noise_got = sorted(r["key"] for r in got if r["cluster"] == -1)
+    assert noise_got == noise_ref
+    assert _partition([(r["key"], r["cluster"]) for r in got if r["cluster"] != -1]) == \
+        _partition([(i, c) for i, c in ref if c >= 0])
+
+
+def test_table_helpers(spark):
+    from tribewise.operators import tables as TB
+    df = spark.createDataFrame([("m1", 3.0), ("m2", 1.0), ("m3", 3.0)], "id string, vi double")
+    pick = TB.min_max_pick(df, "id", "vi").collect()[0]
+    assert (pick["min_id"], pick["max_id"]) == ("m2", "m1")
+    a = spark.createDataFrame([("x", 1, 0.5)], "model string, cluster long, p double")
+    b = spark.createDataFrame([("x", 1, 9)], "Model string, Cluster long, score long")
+    j = TB.left_join_on(a, b, ["model", "cluster"], ["Model", "Cluster"]).collect()[0]
+    assert j["score"] == 9
+    assert TB.stack([a, a.withColumn("extra", a.p)]).count() == 2
