@@ -119,3 +119,15 @@ def test_table_helpers(spark):
     j = TB.left_join_on(a, b, ["model", "cluster"], ["Model", "Cluster"]).collect()[0]
     assert j["score"] == 9
     assert TB.stack([a, a.withColumn("extra", a.p)]).count() == 2
+
+
+def test_annotation_job_writes(spark, tmp_path):
+    from tribewise.plans.jobs import annotation_job
+    rows_ = [(f"k{i}", i % 2, 10 + (i * 7) % 5) for i in range(14)]
+    assign = spark.createDataFrame([(k, c) for k, c, _ in rows_], "key string, cluster long")
+    counts = spark.createDataFrame([(k, n) for k, _, n in rows_], "key string, count long")
+    label, task, answers = annotation_job(assign, counts, "m", str(tmp_path), top_n=3)
+    assert label.count() == 2
+    a = answers.collect()
+    assert all(1 <= r["intruder_position"] <= 4 for r in a)
+    assert spark.read.option("header", True).csv(str(tmp_path / "m_label_task")).count() == 2

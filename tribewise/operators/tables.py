@@ -51,3 +51,8 @@ def min_max_pick(df: DataFrame, id_col: str, metric_col: str) -> DataFrame:
                   F.min(metric_col).alias("min_value"),
                   F.min_by(id_col, F.struct((-F.col(metric_col)).alias("m"), F.col(id_col))).alias("max_id"),
                   F.max(metric_col).alias("max_value"))
+
+
+def log_counts(df: DataFrame, count_col: str, out_col: str = "log_count") -> DataFrame:
+    """Natural log of a count; null for counts <= 0 instead of an ANSI error."""
+    return df.withColumn(out_col, F.when(F.col(count_col) > 0, F.ln(F.col(count_col))))

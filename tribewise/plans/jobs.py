@@ -174,3 +174,24 @@ def explorer_tables(vectors: DataFrame, n_clusters: int, selected_keys: DataFram
     table = FL.assign_other_category(table, "cluster", "cluster_bucket", keep_clusters)
     selection = AN.selection_union(table, key_col, "cluster", selected_keys, selected_clusters)
     return table, selection
+
+
+def annotation_job(assignments: DataFrame, counts: DataFrame, model_name: str, out_dir: str | None = None,
+                   top_n: int = 5, seed: int = 0, key_col: str = "key", cluster_col: str = "cluster",
+                   count_col: str = "count"):
+    """Join counts (J5), label task (A10), intruder task and answer key.
+
+    Writes ``<out_dir>/<model>_label_task``, ``..._intruder_task`` and
+    ``..._intruder_task_answers`` as header CSVs when ``out_dir`` is given.
+    """
+    from tribewise.operators import annotate as AN
+    from tribewise.sources.sinks import write_csv
+    joined = AN.assignments_with_counts(assignments, counts, key_col)
+    label = AN.label_task(joined, model_name, key_col, cluster_col, count_col)
+    task, answers = AN.intruder_task(joined, model_name, top_n, seed, key_col, cluster_col, count_col)
+    if out_dir:
+        base = out_dir.rstrip("/")
+        write_csv(label, f"{base}/{model_name}_label_task")
+        write_csv(task, f"{base}/{model_name}_intruder_task")
+        write_csv(answers, f"{base}/{model_name}_intruder_task_answers")
+    return label, task, answers
