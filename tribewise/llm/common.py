@@ -58,7 +58,7 @@ def open_shared(uri: str, mode: str) -> Iterator:
                                           if uri.startswith("file:") else f"file://{uri}")
     if mode == "w":
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as f:
+        with system.open_output_stream(path, compression=None) as f:
             yield f
     else:
         with system.open_input_file(path) as f:

@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op7_sentencepiece
+from . import op2_sharding, op4_warc, op7_sentencepiece
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +27,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op2_sharding.sharded(table(spark, sf_dir, "documents"))
+    return rows.withColumn("grown_shard", F.lit(None).cast("int")).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+
+
+@query("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sentencepiece.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
