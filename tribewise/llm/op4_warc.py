@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import open_shared, shared_path, written
 
-CHUNK = 32 << 10
+CHUNK = 16 << 10
 ARCHIVE = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the archive format.

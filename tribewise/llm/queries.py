@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_sharding, op4_warc, op7_sentencepiece
+from . import op2_sharding, op4_warc, op7_sentencepiece, op8_quality, op10_decontaminate
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -43,3 +43,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sentencepiece.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """Labels that a classifier may learn from; the others are held out."""
+    return labels.filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 != 1)
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op8_quality.train(docs, learning_labels(table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1, F.lit(False))
+    return op8_quality.score(docs, model).select(
+        "doc_id", held.alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
