@@ -30,6 +30,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished steps
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +66,12 @@ def open_shared(uri: str, mode: str) -> Iterator:
             yield f
 
 
+def text_key(col: str = "text") -> list:
+    """128 bits of a text's content as two longs, ``h1`` and ``h2``; null counts as empty."""
+    text = text_or_empty(col)
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(71), text).alias("h2")]
+
+
 def text_runs(batch, text_col: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut an Arrow batch into runs of rows [a, b) of about ``max_bytes`` of text; a longer text is alone."""
     import numpy as np

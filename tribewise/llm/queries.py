@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_sharding, op4_warc, op6_wavelet, op7_sentencepiece, op8_quality, op10_decontaminate
+from . import op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op10_decontaminate
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +40,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_substring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_substring.deduplicated(table(spark, sf_dir, "documents"), texts_out=False)
+
+
 @query("op6_wavelet")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_wavelet.round_trip(table(spark, sf_dir, "documents"), BYTE_MODEL)

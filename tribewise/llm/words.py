@@ -92,6 +92,20 @@ def runs(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray
     return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U))
 
 
+def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest of each ``width`` consecutive values, the first of equal ones."""
+    at, span = np.arange(len(values)), 1
+    while 2 * span <= width:
+        right = at[span:]
+        left = at[:len(right)]
+        at, span = np.where(values[right] < values[left], right, left), 2 * span
+    if span < width:
+        right = at[width - span:]
+        left = at[:len(right)]
+        at = np.where(values[right] < values[left], right, left)
+    return at
+
+
 def joined(texts, fold_none: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string array with a line end after each text, and the offset of each text."""
     raw = [t.as_buffer().to_pybytes() if t.is_valid else fold_none for t in texts]
