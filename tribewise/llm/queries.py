@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op10_decontaminate
+from . import op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -73,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"))
