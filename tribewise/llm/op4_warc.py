@@ -239,8 +239,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    spread = manifest.select("path").repartition(F.col("path"))  # archives, not manifest files, decide the tasks
-    return spread.mapInArrow(run, READ_SCHEMA)
+    tasks = max(1, manifest.count())  # archives, not the manifest's files or size, decide the tasks
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK) -> DataFrame:

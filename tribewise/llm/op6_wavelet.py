@@ -297,7 +297,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     [pa.array(docs, pa.int64()), pa.array(starts + base), pa.array(ends - starts),
                      pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return (files.select("path", "base").repartition(F.col("path"))
+    tasks = max(1, manifest.count())  # files, not the manifest's size, decide the tasks
+    return (files.select("path", "base").repartition(tasks, "path")
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
