@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
+from . import op1_lines, op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,42 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+elements AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM lines WHERE trim(line, ' ') <> ''),
+counts AS (SELECT doc_id, max(p) AS n FROM elements GROUP BY doc_id),
+starts AS (SELECT doc_id, unnest(generate_series(-1, n)) AS s FROM counts),
+windows AS (
+  SELECT s.doc_id, s.s, a.line AS la, b.line AS lb, c.line AS lc, a.i AS ia, b.i AS ib, c.i AS ic
+  FROM starts s
+  LEFT JOIN elements a ON a.doc_id = s.doc_id AND a.p = s.s
+  LEFT JOIN elements b ON b.doc_id = s.doc_id AND b.p = s.s + 1
+  LEFT JOIN elements c ON c.doc_id = s.doc_id AND c.p = s.s + 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY la, lb, lc ORDER BY doc_id, s) AS r FROM windows),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([ia, ib, ic]) AS i FROM ranked WHERE r > 1),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+         string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS body
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op1_line_dedup", LINES_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op1_lines.deduplicated(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("deduped", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op2_sharding.sharded(table(spark, sf_dir, "documents"))
