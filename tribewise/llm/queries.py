@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lines, op2_sharding, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
+from . import op1_lines, op2_sharding, op3_nndescent, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +70,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
 
 
+@query("op3_nn_descent")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_nndescent.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 @query("op4_warc")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_warc.round_trip(table(spark, sf_dir, "pages")).select(
