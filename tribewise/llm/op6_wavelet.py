@@ -11,9 +11,9 @@ File: magic, length of the header, header (JSON), then sections compressed one
 by one: document ids, document ends, and per plane its bits and its counts.
 
 Encoding.  The vocabulary's pre-tokenizer always cuts before a blank that a
-visible character follows.  Texts are cut there, the library encodes every
-piece it has not seen in a bounded per-worker cache, and the ids of a run of
-texts are put together with array operations.
+visible character follows, and between a letter or digit and a stop.  Texts are
+cut there, the library encodes every piece that the worker has not seen, and
+the ids of a run of texts are put together with array operations.
 
 Cases: null text counts as empty; an empty text has the end id only; null ids
 come first; rows of one id are ordered by text; an empty table gives no files
@@ -31,17 +31,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import open_shared, shared_path, text_or_empty, text_runs, written
+from .words import joined, span_hashes
 
 MAGIC = b"WVMX0001"
 BLOCK = 4096
-SHARD_BYTES, SHARD_TOKENS, CACHE = 8 << 20, 32 << 20, 1_000_000
+SHARD_BYTES, SHARD_TOKENS, CACHE = 8 << 20, 32 << 20, 3_000_000
 MANIFEST_SCHEMA = "shard int, part int, path string, n_docs long, n_tokens long"
 
 
 # -------------------------------------------------------------------- encoding
 
+#: Bytes after which a blank is no cut (white space, and first bytes of other blanks), marks that end a word.
+_NO_CUT, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_STOP[list(b".,;:!?")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
+
 class PieceCache:
-    """Token ids of many texts at once, as the tokenizers library gives them."""
+    """Token ids of many texts at once, as the tokenizers library gives them.
+
+    Pieces are known by a 64-bit hash of their bytes; hashes, lengths and ids
+    of the pieces seen are arrays, so a million of them take some 40 MB.
+    """
 
     def __init__(self, path: str, limit: int = CACHE):
         from tokenizers import Tokenizer
@@ -49,63 +62,60 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.later, self.first = {}, {}  # pieces with and without a blank before them
-        self.flat, self.ends, self.used, self.count = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
-
-    def _add(self, into: dict, pieces: list[str], blank: str) -> None:
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k:k + 4096]
-            for piece, got in zip(some, self.library.encode_batch([blank + p for p in some], add_special_tokens=False)):
-                ids = got.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-                if self.count + 2 > len(self.ends):
-                    self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-                into[piece] = self.count
-                self.count += 1
-                self.ends[self.count] = self.used
+        self.keys, self.codes = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.ends = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Cut before every blank that a visible character follows; the blank itself is left out."""
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() for p in parts[1:]):
-            whole, parts = parts, parts[:1]
-            for p in whole[1:]:
-                if p and not p[0].isspace():
-                    parts.append(p)
-                else:
-                    parts[-1] += " " + p
-        return parts
-
-    def _codes(self, into: dict, pieces: list[str], blank: str) -> np.ndarray:
-        codes = list(map(into.get, pieces))
-        gaps = [i for i, c in enumerate(codes) if c is None]
-        if gaps:
-            self._add(into, list(dict.fromkeys(pieces[i] for i in gaps)), blank)
-            for i in gaps:
-                codes[i] = into[pieces[i]]
-        return np.array(codes, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        if self.count > self.limit:
+    def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of texts that lie in ``data`` with a line end after each."""
+        cut = np.zeros(len(data) + 1, bool)
+        after = data[1:]
+        cut[:-2] = (data[:-1] == 0x20) & ~_NO_CUT[after]
+        word = _ALNUM[data[:-1]]
+        word[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        cut[1:-1] |= _STOP[after] & word
+        cut[offsets[:-1]] = True
+        starts = np.flatnonzero(cut[:-1])
+        ends = np.append(starts[1:], len(data))
+        last = np.searchsorted(starts, offsets[1:]) - 1
+        ends[last] -= 1  # the line end between texts
+        return starts, ends
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        got = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        sizes = np.array([len(g) for g in got], np.int64)
+        known = len(self.codes)
+        base = self.ends[-1][-1]
+        self.flat.append(np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())))
+        self.ends.append(base + np.cumsum(sizes))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.codes = np.insert(self.codes, at, known + np.arange(len(keys)))
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) for an Arrow string array."""
+        if len(self.keys) > self.limit:
             self._clear()
-        cut = [self._pieces(t) for t in texts]
-        sizes = np.array([len(c) for c in cut], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        codes = np.empty(starts[-1], np.int64)
-        heads = np.zeros(len(codes), bool)
-        heads[starts[:-1]] = True
-        codes[heads] = self._codes(self.first, [c[0] for c in cut], "")
-        codes[~heads] = self._codes(self.later, [p for c in cut for p in c[1:]], " ")
-        begin = self.ends[codes]
-        length = self.ends[codes + 1] - begin
+        data, offsets = joined(texts)
+        starts, ends = self.cuts(data, offsets)
+        unique, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, unique)
+        missing = np.ones(len(unique), bool)
+        inside = at < len(self.keys)
+        missing[inside] = self.keys[at[inside]] != unique[inside]
+        if missing.any():
+            raw = data.tobytes()
+            spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())
+            self._learn(unique[missing], [raw[a:b].decode() for a, b in spans])
+            at = np.searchsorted(self.keys, unique)
+        if len(self.flat) > 1:
+            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        code = self.codes[at][back]
+        begin = self.ends[0][code]
+        length = self.ends[0][code + 1] - begin
         done = np.concatenate(([0], np.cumsum(length)))
-        at = np.repeat(begin - done[:-1], length) + np.arange(done[-1])
-        return self.flat[at], done[starts[1:]] - done[starts[:-1]]
+        ids = self.flat[0][np.repeat(begin - done[:-1], length) + np.arange(done[-1])]
+        return ids, np.diff(done[np.searchsorted(starts, offsets)])
 
 
 _CACHES: dict[str, PieceCache] = {}
@@ -262,7 +272,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_i
 
         for batch in batches:
             for a, b in text_runs(batch, "text"):
-                got, size = cache.encode(batch.column("text").slice(a, b - a).to_pylist())
+                got, size = cache.encode(batch.column("text").slice(a, b - a))
                 ids.append(np.insert(got, np.cumsum(size), end_id).astype(np.uint32))
                 sizes.append(size + 1)
                 doc_ids += batch.column("doc_id").slice(a, b - a).to_pylist()

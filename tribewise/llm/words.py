@@ -77,6 +77,23 @@ def word_hashes(data: np.ndarray, fold: bool = False, step: int = 1 << 16):
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Hash of the bytes start..end-1 of ascending spans that do not overlap."""
+    out, a, n = np.empty(len(starts), U), 0, len(starts)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, "right")))
+        base = int(starts[a])
+        piece = data[base:int(ends[b - 1])]
+        p, inv = powers(_BASE, len(piece) + 1)
+        total = np.empty(len(piece) + 1, U)
+        total[0] = 0
+        np.cumsum(_BYTES[False][piece] * p[:-1], out=total[1:])
+        s, e = starts[a:b] - base, ends[a:b] - base
+        out[a:b] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(U))
+        a = b
+    return out
+
+
 def run_sums(hashes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Running sums from which ``runs`` takes the hash of any run of words."""
     p, inv = powers(base, len(hashes) + 1)
