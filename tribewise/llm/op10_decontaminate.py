@@ -113,48 +113,61 @@ class Index:
         return [(i, p, q, n, e) for e, i, p, q, n in best.values()]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col: str = "text",
-             item_key: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW,
-             similarity: float = SIMILARITY, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Pairs (document, item) with a verified overlap."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    source = source.filter(F.col("text").isNotNull())
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_words: int):
+    """Broadcasts of the items, at most ``block_words`` words or so in each."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     n_blocks = max(1, math.ceil(1.25 * total / block_words))
-    out = None
     for block in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).orderBy("i", "t")
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])  # block_words at most
-        found = source.mapInArrow(_finder(shared, masks, window, similarity, min_words), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
 
 
 _INDEX: dict = {}
 
 
-def _finder(shared, masks, window, similarity, min_words):
-    token = uuid.uuid4().hex
-
-    def run(batches):
-        import pyarrow as pa
-        if token not in _INDEX:  # a reused worker builds the index of a block once
-            _INDEX.clear()
-            _INDEX[token] = Index(shared.value, masks, window, similarity, min_words)
-        index = _INDEX[token]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                rows += [(doc.as_py(), *hit) for hit in index.overlaps(text.as_py())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
-                                                 names=[c.split()[0] for c in SCHEMA.split(", ")])
-    return run
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item; rows with a null key stay."""
-    bad = overlaps(docs, benchmark, key, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+def _index(token: str, shared, options: tuple) -> Index:
+    if token not in _INDEX:  # a reused worker builds the index of a block once
+        _INDEX.clear()
+        _INDEX[token] = Index(shared.value, *options)
+    return _INDEX[token]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text_col: str = "text",
+             item_key: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW,
+             similarity: float = SIMILARITY, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Pairs (document, item) with a verified overlap."""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    options, out = (masks, window, similarity, min_words), None
+    for shared in _blocks(benchmark, item_key, item_text, block_words):
+        def run(batches, shared=shared, token=uuid.uuid4().hex):
+            import pyarrow as pa
+            index = _index(token, shared, options)
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+                    rows += [(doc.as_py(), *hit) for hit in index.overlaps(text.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
+                                                     names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        found = source.mapInArrow(run, SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_key: str = "item_id",
+                         item_text: str = "text", masks=MASKS, window: int = WINDOW, similarity: float = SIMILARITY,
+                         min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows that overlap a benchmark item; rows are dropped where they lie."""
+    options, out = (masks, window, similarity, min_words), docs
+    for shared in _blocks(benchmark, item_key, item_text, block_words):
+        def run(batches, shared=shared, token=uuid.uuid4().hex):
+            import pyarrow as pa
+            index = _index(token, shared, options)
+            for batch in batches:
+                yield batch.filter(pa.array([not t.is_valid or not index.overlaps(t.as_py()) for t in batch.column(text_col)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -246,13 +246,15 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "sp_ids") -> Data
     return base.mapInArrow(run, base.schema.add("sp_text", "string"))
 
 
-def digests(docs: DataFrame, model_path: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: n_tokens, ids_sha256 and decoded_sha256 of a full encode-decode round trip."""
+def digests(docs: DataFrame, model_path: str, key: str = "doc_id", text_col: str = "text",
+            ids_out: bool = False) -> DataFrame:
+    """Per row: n_tokens, ids_sha256 and decoded_sha256 of a full encode-decode round trip, and sp_ids with ``ids_out``."""
     def rows(text):
         e = encoder(model_path)
         ids = e.ids(text) + [e.sp.eos_id()]
         named = " ".join(map(e.decimal.__getitem__, ids))
-        return (len(ids), hashlib.sha256(named.encode()).hexdigest(),
-                hashlib.sha256(e.decode(ids).encode()).hexdigest())
+        found = (len(ids), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest())
+        return found + (ids,) if ids_out else found
 
-    return _mapped(docs, text_col, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", [key])
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", sp_ids array<int>" if ids_out else "")
+    return _mapped(docs, text_col, rows, schema, [key])

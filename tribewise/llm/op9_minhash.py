@@ -175,7 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", words: int = SHINGLE, rows: int = ROWS,
                     bands: int = BANDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept and class (names equal sets)."""
+    """One row per row of ``docs``: key, n_shingles, component_id, kept, and what names its set, component and text."""
     sketch = written(sketches(docs, key, text_col, words, rows, bands), "sketches")
     classes = written(
         sketch.filter("n > 0").groupBy("s1", "s2").agg(
@@ -223,8 +223,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     comp = components(links)
     named = classes.select("s1", "s2", "node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    of_class = named.join(names, "comp").select("s1", "s2", F.col("node").alias("class"), "component_id")
-    out = sketch.select("doc", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    of_class = named.join(names, "comp").select("s1", "s2", F.col("node").alias("class"), "comp", "component_id")
+    out = sketch.select("doc", "h1", "h2", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"), "class")
+                      F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"), "class", "comp", "h1", "h2")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest key; rows without words all stay."""
+    found = near_duplicates(docs, key, text_col, **options).withColumnRenamed(key, "_k")
+    first = F.min(F.struct(F.col("_k").isNull().alias("n"), "_k", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
+    chosen = found.filter("n_shingles > 0").groupBy("comp").agg(first.alias("x")).select("x._k", "x._h1", "x._h2", F.lit(False).alias("_none"))
+    empty = found.filter("n_shingles = 0").select("_k", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("_none")).distinct()
+    h1, h2 = text_key(text_col)
+    both = docs.withColumns({"h1__": h1, "h2__": h2}).join(
+        chosen.unionByName(empty), F.col(key).eqNullSafe(F.col("_k")) & (F.col("h1__") == F.col("_h1")) & (F.col("h2__") == F.col("_h2")))
+    turn = F.row_number().over(Window.partitionBy("h1__", "h2__", key).orderBy(F.lit(1)))
+    return both.withColumn("_turn", turn).filter("_none or _turn = 1").select(*docs.columns)

@@ -118,4 +118,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return op9_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
