@@ -83,11 +83,12 @@ def occurrences(docs: DataFrame, text_col: str = "text", window: int = WINDOW, s
 def _settled(docs: DataFrame, text_col: str, window: int, seed: int) -> DataFrame:
     """Per text: ``full`` (packed runs of windows that repeat) and ``open`` (runs still to be compared)."""
     every = occurrences(docs, text_col, window, seed)
-    shared = (every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-              .filter("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")))
+    # counts are written first: a join of two plain exchanges can be split where an anchor is hot
+    shared = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
+                     .filter("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")), "shared")
     found = written(every.join(shared, "anchor"), "anchors")
     mixed = found.filter("several")
-    classes = mixed.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("size"), F.min("h1").alias("leader"))
+    classes = written(mixed.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("size"), F.min("h1").alias("leader")), "classes")
     sorted_out = (mixed.join(classes, ["anchor", "ctx"])
                   .unionByName(found.filter("not several").withColumns({"size": F.lit(2).cast("long"), "leader": F.lit(None).cast("long")})))
     whole = F.col("size") > 1
@@ -139,7 +140,8 @@ def cleaned(docs: DataFrame, text_col: str = "text", window: int = WINDOW, seed:
     texts = docs.select(*text_key(text_col), text_or_empty(text_col).alias("text")).groupBy("h1", "h2").agg(
         F.min("text").alias("text"))
     windows = written(_windows(texts, settled, window), "windows")
-    repeated = windows.groupBy("anchor", "win").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    repeated = written(windows.groupBy("anchor", "win").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", "win"),
+                       "repeated")
     matched = (windows.filter("single").join(repeated, ["anchor", "win"])
                .groupBy("h1", "h2").agg(F.collect_list(F.col("start").cast("long") * 64 + 1).alias("more")))
     schema = "h1 long, h2 long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts_out else "")
