@@ -69,12 +69,14 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(key).alias("k"), *text_key(text_col), F.col(text_col).alias("text")).filter("text is not null")
     found = source.select("k", "h1", "h2", F.explode(_positions(_elements("text", window), window)).alias("p"))
     found = written(found.select("k", "h1", "h2", "p.fp", "p.windows"), "fingerprints")
-    shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
+    # counts and firsts are written before they are joined, so that hot lines can be split
+    shared = written(found.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "shared")
     extended = found.join(shared, "fp").select("fp", "k", "h1", "h2", F.explode("windows").alias("w")).select(
         "fp", F.col("w.content").alias("content"), F.struct("k", "h1", "h2", F.col("w.start").alias("start")).alias("here"),
         F.col("w.lines").alias("lines"))
-    first = extended.groupBy("fp", "content").agg(F.min("here").alias("first"), F.max("here").alias("last")).filter("first < last")
-    later = extended.join(first.select("fp", "content", "first"), ["fp", "content"]).filter("here > first")
+    first = written(extended.groupBy("fp", "content").agg(F.min("here").alias("first"), F.max("here").alias("last"))
+                    .filter("first < last").select("fp", "content", "first"), "firsts")
+    later = extended.join(first, ["fp", "content"]).filter("here > first")
     return (later.select("here.k", "here.h1", "here.h2", F.explode("lines").alias("line"))
             .groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
@@ -82,17 +84,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, key: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_lines, n_removed and ``deduped``, the text without its repeated lines."""
     base = docs.drop(*ADDED)
-    lines = F.split(F.col(text_col), "\n")
     h1, h2 = text_key(text_col)
-    left = base.withColumns({"_lines": lines, "_h1": h1, "_h2": h2})
-    gone = repeated_lines(docs, key, text_col, window)
-    joined = left.join(gone, F.col(key).eqNullSafe(F.col("k")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left")
-    n = F.size("_lines")
-    edges = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(n))
+    left = base.withColumns({"_ld_lines": F.split(F.col(text_col), "\n"), "_ld_a": h1, "_ld_b": h2})
+    gone = repeated_lines(docs, key, text_col, window).select(
+        F.col("k").alias("_ld_k"), F.col("h1").alias("_ld_h1"), F.col("h2").alias("_ld_h2"), F.col("removed").alias("_ld_gone"))
+    joined = left.join(gone, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_a") == F.col("_ld_h1"))
+                       & (F.col("_ld_b") == F.col("_ld_h2")), "left")
+    lines, removed = F.col("_ld_lines"), F.col("_ld_gone")
+    edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
     kept = _let(edges, lambda e: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(F.col("_lines"), e[i] + 2, e[i + 1] - e[i] - 1))))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"),
-        "n_removed": F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"),
-        "deduped": text}).select(*base.columns, *ADDED)
+        F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(lines, e[i] + 2, e[i + 1] - e[i] - 1))))
+    return joined.select(
+        *base.columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(removed.isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"),
+        F.when(removed.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("deduped"))

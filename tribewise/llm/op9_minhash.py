@@ -182,8 +182,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
             F.min("doc").alias("doc"), F.max("n").alias("n"), F.min(F.struct("h1", "h2")).alias("text"), F.min("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     every = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).filter("c > 1")
-    members = written(every.join(shared.select("bucket", "leader"), "bucket"), "buckets")
+    # leaders are written before they are joined, so that hot buckets can be split
+    shared = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader"))
+                     .filter("c > 1").select("bucket", "leader"), "shared")
+    members = written(every.join(shared, "bucket"), "buckets")
     wanted = members.select("node").distinct().join(classes.select("node", "text.h1", "text.h2"), "node")
     sets = written(_full_sets(docs, wanted, text_col, words, rows * bands), "sets")
 
@@ -232,12 +234,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest key; rows without words all stay."""
-    found = near_duplicates(docs, key, text_col, **options).withColumnRenamed(key, "_k")
-    first = F.min(F.struct(F.col("_k").isNull().alias("n"), "_k", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
-    chosen = found.filter("n_shingles > 0").groupBy("comp").agg(first.alias("x")).select("x._k", "x._h1", "x._h2", F.lit(False).alias("_none"))
-    empty = found.filter("n_shingles = 0").select("_k", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("_none")).distinct()
+    found = near_duplicates(docs.select(F.col(key).alias("doc"), F.col(text_col).alias("text")), "doc", "text", **options)
+    names = [F.col("doc").alias("_nd_k"), F.col("h1").alias("_nd_h1"), F.col("h2").alias("_nd_h2")]
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h1", "h2"))
+    chosen = (found.filter("n_shingles > 0").groupBy("comp").agg(first.alias("x")).select("x.doc", "x.h1", "x.h2")
+              .select(*names, F.lit(False).alias("_nd_empty")))
+    empty = found.filter("n_shingles = 0").select(*names, F.lit(True).alias("_nd_empty")).distinct()
     h1, h2 = text_key(text_col)
-    both = docs.withColumns({"h1__": h1, "h2__": h2}).join(
-        chosen.unionByName(empty), F.col(key).eqNullSafe(F.col("_k")) & (F.col("h1__") == F.col("_h1")) & (F.col("h2__") == F.col("_h2")))
-    turn = F.row_number().over(Window.partitionBy("h1__", "h2__", key).orderBy(F.lit(1)))
-    return both.withColumn("_turn", turn).filter("_none or _turn = 1").select(*docs.columns)
+    both = docs.withColumns({"_nd_a": h1, "_nd_b": h2}).join(
+        chosen.unionByName(empty), F.col(key).eqNullSafe(F.col("_nd_k")) & (F.col("_nd_a") == F.col("_nd_h1"))
+        & (F.col("_nd_b") == F.col("_nd_h2")))
+    turn = F.row_number().over(Window.partitionBy("_nd_a", "_nd_b", key).orderBy(F.lit(1)))
+    return both.withColumn("_nd_turn", turn).filter("_nd_empty or _nd_turn = 1").select(*docs.columns)
