@@ -184,7 +184,7 @@ class WaveletFile:
         """Ones before position i of a plane."""
         words, counts = self.plane(level)
         block, word = i // BLOCK, i // 64
-        total = int(counts[block]) + int(np.bitwise_count(words[block * (BLOCK // 64):word]).sum())
+        total = int(counts[min(block, len(counts) - 1)]) + int(np.bitwise_count(words[block * (BLOCK // 64):word]).sum())
         return total + (int(words[word]) & ((1 << i % 64) - 1)).bit_count() if i % 64 else total
 
     def _bit(self, level: int, i: int) -> int:
@@ -208,7 +208,8 @@ class WaveletFile:
 
     def count(self, symbol: int, a: int = 0, b: int | None = None) -> int:
         """Occurrences of an id in positions a..b-1."""
-        low, high = self._range(symbol, a, self.n if b is None else b)
+        b = self.n if b is None else min(b, self.n)
+        low, high = self._range(symbol, min(a, b), b)
         return high - low
 
     def _select(self, level: int, k: int, bit: int) -> int:

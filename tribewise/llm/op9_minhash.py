@@ -159,13 +159,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node it reaches) for every node of the links (a, b)."""
+    def name(e: DataFrame):  # tells two sets of links apart
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     now = written(_small_star(edges.filter("a != b")), "star")
+    before = name(now)
     while True:
         after = written(_small_star(_large_star(now)), "star")
-        changed = after.select("a", "b").exceptAll(now.select("a", "b")).limit(1).count()
         free(now)
-        now = after
-        if not changed:
+        now, last, before = after, before, name(after)
+        if before == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
         outside = (live.join(main, "bucket").filter("comp != main.comp").select("bucket", "node", "n", "comp")
                    .join(done, ["bucket", "node"], "left_anti"))
         order = Window.partitionBy("bucket").orderBy("node")
-        turn *= 8
+        turn *= 32
         leaders = written(outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= turn)
                           .select("bucket", "node", "n", "comp"), "leaders")
         if leaders.isEmpty():
@@ -222,7 +225,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
         links = links.unionByName(written(_confirmed(fresh, sets, percent), "links"))
         tried, done = tried.unionByName(fresh), done.unionByName(leaders.select("bucket", "node"))
         free(live)
-    comp = components(links)
     named = classes.select("s1", "s2", "node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     of_class = named.join(names, "comp").select("s1", "s2", F.col("node").alias("class"), "comp", "component_id")
