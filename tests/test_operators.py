@@ -59,7 +59,7 @@ def test_contexts_and_top_n(spark):
         ("books fantasy fantasy scifi", 4), ("movies personalfinance", 2)]
     top = A.get_top_n_counts(df, "subreddit", 2)
     assert [tuple(r) for r in top.collect()] == [("fantasy", 2), ("books", 1)]
-    assert A.filter_top_n(df, top, "subreddit", n_bound=2).count() == 3
+    assert A.filter_top_n(df, top, "subreddit").count() == 3
 
 
 def test_thread_join_and_window(spark):

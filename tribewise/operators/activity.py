@@ -4,8 +4,7 @@ Scale notes
 -----------
 * Counting is a partial/final hash aggregate: a community or user that holds
   a third of all rows is combined map-side before the shuffle.
-* The top-n table has a proven bound (``n`` rows), so it is the only side
-  that is broadcast; above ``BROADCAST_ROW_LIMIT`` the semi join shuffles.
+* The top-n table is small; Spark broadcasts it if its measured size allows.
 * ``percent_rank`` over the whole table would move every user to one task.
   ``exclude_top_percentage`` computes the same filter from the histogram of
   counts (one row per distinct count value, at most ~sqrt(2 * rows) rows) and
@@ -22,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribewise import schemas as S
-from tribewise.operators.filters import BROADCAST_ROW_LIMIT
 
 
 def get_top_n_counts(df: DataFrame, col: str = S.COMMUNITY, n: int = S.DEFAULT_TOP_N,
@@ -36,17 +34,9 @@ def get_top_n_counts(df: DataFrame, col: str = S.COMMUNITY, n: int = S.DEFAULT_T
             .limit(n))
 
 
-def filter_top_n(df: DataFrame, top_n: DataFrame, col: str = S.COMMUNITY,
-                 n_bound: int | None = None) -> DataFrame:
-    """Left semi join to the top-n table.
-
-    ``n_bound`` is the proven row bound of ``top_n`` (the ``n`` used to build
-    it); the side is broadcast only when that bound is known and small.
-    """
-    keys = top_n.select(col)
-    if n_bound is not None and n_bound <= BROADCAST_ROW_LIMIT:
-        keys = F.broadcast(keys)
-    return df.join(keys, col, "leftsemi")
+def filter_top_n(df: DataFrame, top_n: DataFrame, col: str = S.COMMUNITY) -> DataFrame:
+    """Left semi join to the top-n table; Spark broadcasts it if its measured size allows."""
+    return df.join(top_n.select(col), col, "leftsemi")
 
 
 def coverage_stats(original: DataFrame, filtered: DataFrame, community_col: str = S.COMMUNITY,

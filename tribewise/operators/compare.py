@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribewise import schemas as S
-from tribewise.session import cut_lineage
+from tribewise.session import cut_lineage, drop_state
 
 UNION_UNIFORM = "union_uniform_probability"
 INTERSECT_UNIFORM = "intersection_uniform_probability"
@@ -196,7 +196,7 @@ def cluster_members_string(assignments: DataFrame, key_col: str = "key", cluster
 
 
 def maximum_matching(ct: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None,
-                     missing: int = S.MISSING_CLUSTER, max_rounds: int = 10_000) -> DataFrame:
+                     missing: int = S.MISSING_CLUSTER) -> DataFrame:
     """Greedy maximum-match pairing of clusters, computed in parallel rounds.
 
     Greedy repeatedly takes the largest positive cell (ties: smallest row,
@@ -213,9 +213,7 @@ def maximum_matching(ct: DataFrame, rows: DataFrame | None = None, cols: DataFra
     cells = ct.where(F.col("n") > 0).select("c1", "c2", "n")
     matched = None
     rnd = 0
-    while rnd < max_rounds:
-        if cells.isEmpty():
-            break
+    while not cells.isEmpty():
         rnd += 1
         wr = Window.partitionBy("c1").orderBy(F.col("n").desc(), F.col("c2").asc())
         wc = Window.partitionBy("c2").orderBy(F.col("n").desc(), F.col("c1").asc())
@@ -223,8 +221,10 @@ def maximum_matching(ct: DataFrame, rows: DataFrame | None = None, cols: DataFra
         pick = ranked.where((F.col("_rr") == 1) & (F.col("_rc") == 1)).select("c1", "c2", F.lit(rnd).alias("round"))
         pick = cut_lineage(pick)
         matched = pick if matched is None else matched.unionByName(pick)
-        cells = cut_lineage(cells.join(pick.select("c1"), "c1", "left_anti")
-                            .join(pick.select("c2"), "c2", "left_anti"))
+        left = cut_lineage(cells.join(pick.select("c1"), "c1", "left_anti")
+                           .join(pick.select("c2"), "c2", "left_anti"))
+        drop_state(cells)
+        cells = left
     if matched is None:
         matched = ct.sparkSession.createDataFrame([], "c1 bigint, c2 bigint, round int")
     row_labels = (rows if rows is not None else ct.select(F.col("c1").alias("cluster"))).select(

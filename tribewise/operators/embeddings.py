@@ -169,13 +169,13 @@ def generate_analogies(pairs: DataFrame, section_col: str = "section", pos_col:
 def read_analogy_pairs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Headerless two-column CSV files; the file is the section, the
     line number the position (kept explicitly, never by row order)."""
-    raw = spark.read.text(paths).select(F.input_file_name().alias("_f"), F.col("value"))
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
-    parts = F.split(F.col("value"), ",")
-    out = raw.where(F.trim("value") != "").select(
-        F.regexp_extract("_f", r"([^/]+?)(\.[^./]*)?$", 1).alias("section"), F.col("_id").alias("pos"),
-        F.trim(parts[0]).alias("a"), F.trim(parts[1]).alias("b"))
-    return out
+    raw = spark.read.schema("a string, b string").csv(paths, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = raw.select("a", "b", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+                     F.monotonically_increasing_id().alias("_id"))
+    # the rows of a block are numbered in order; blocks of a file are ordered by their start
+    order = Window.partitionBy("_f").orderBy("_s", "_id")
+    return raw.select(F.regexp_extract("_f", r"([^/]+?)(\.[^./]*)?$", 1).alias("section"),
+                      F.row_number().over(order).cast("bigint").alias("pos"), "a", "b")
 
 
 def score_analogies(analogies: DataFrame, vectors: DataFrame, key_col: str = "key", vec_col: str = "vector",
@@ -188,7 +188,8 @@ def score_analogies(analogies: DataFrame, vectors: DataFrame, key_col: str = "ke
     nv = normalized(vectors.select(F.col(key_col).alias("k"), F.col(vec_col).alias("v")), "v")
     an = analogies
     if case_insensitive:
-        nv = nv.withColumn("k", F.upper("k"))
+        # one key per folded form: the smallest spelling
+        nv = (nv.groupBy(F.upper("k").alias("_u")).agg(F.min_by("v", "k").alias("v")).select(F.col("_u").alias("k"), "v"))
         an = an.select("section", *[F.upper(c).alias(c) for c in ("a", "b", "c", "d")])
     an = an.withColumn("_aid", F.concat_ws("|", *[F.col(c).cast("string") for c in ("section", "a", "b", "c", "d")]))
     j = an
@@ -243,14 +244,12 @@ def pca_projection(vectors: DataFrame, k: int = 2, key_col: str = "key", vec_col
 
 
 # --- E10: grid search ---------------------------------------------------------------------
-def _camel(name: str) -> str:
-    head, *rest = name.split("_")
-    return head + "".join(p.title() for p in rest)
 
 
 def model_id(params: dict) -> str:
     """Sorted camel-case keys followed by values, e.g. ``alpha0.02_sample0.002_vectorSize25``."""
-    return "_".join(f"{_camel(k)}{params[k]}" for k in sorted(params, key=_camel))
+    named = {re.sub("_+([a-z0-9])", lambda m: m[1].upper(), k): v for k, v in params.items()}
+    return "_".join(f"{k}{named[k]}" for k in sorted(named))
 
 
 def expand_grid(grid: dict) -> list[dict]:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from tribewise import schemas as S
 
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def filter_by_regex(df: DataFrame, col: str = S.COMMUNITY, pattern: str = S.USER_PROFILE_PATTERN,
                     match_complement: bool = True) -> DataFrame:

@@ -2,10 +2,8 @@
 
 * Cosine silhouette (M1) needs no pairs: for unit vectors the summed cosine
   distance from x to cluster C is |C| - x.S_C, where S_C is the cluster's
-  vector sum.  The (cluster, size, sum) table is bounded by the number of
-  clusters; it is passed as one scalar-subquery array when
-  clusters x dimensions is below ``SCALAR_LIMIT`` and otherwise computed as
-  blocked pairwise distance sums.
+  vector sum.  Clusters are dealt into blocks of ``CLUSTER_BLOCK`` sums; a point
+  meets each block by an equi-join and the partial results are combined.
 * Euclidean silhouette (M5) has no such identity: blocked distance sums per
   (point, cluster) are computed in cogroup tasks and summed by Spark.
 * Davies-Bouldin (M3, M4) and Calinski-Harabasz (M2) need centroids and
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from tribewise.functions import vectors as V
 from tribewise.operators import blocked as B
 
-SCALAR_LIMIT = 20_000_000  # clusters x dimensions shipped in one scalar subquery
+CLUSTER_BLOCK = 512  # vector sums that one row carries
 
 
 def _prep(df: DataFrame, key_col: str, vec_col: str, cluster_col: str, normalize: bool) -> DataFrame:
@@ -30,18 +28,19 @@ def _prep(df: DataFrame, key_col: str, vec_col: str, cluster_col: str, normalize
 
 
 def _silhouette_from_sums(points: DataFrame, sums: DataFrame) -> DataFrame:
-    """points (key, cluster, v); sums: (cluster, size, vsum) -> (key, cluster, a, b)."""
-    arr = sums.select(F.sort_array(F.collect_list(F.struct(
-        F.col("cluster").alias("c"), F.col("size").alias("n"), F.col("vsum").alias("s"))))).scalar()
-    # the scalar subquery is projected first: higher-order functions cannot hold one
-    per = points.withColumn("_arr", arr).withColumn("_d", F.transform("_arr", lambda s: F.struct(
+    """points (key, cluster, v); sums: (cluster, size, vsum) -> (key, cluster, a, b, own_n)."""
+    number = sums.select(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)).cast("int")).scalar()
+    blocks = (sums.withColumn("_nb", number).groupBy(F.pmod(F.xxhash64("cluster"), F.col("_nb")).cast("int").alias("_block"))
+              .agg(F.collect_list(F.struct(F.col("cluster").alias("c"), F.col("size").alias("n"), F.col("vsum").alias("s"))).alias("_arr")))
+    met = (points.withColumn("_nb", number).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+           .join(blocks, "_block"))
+    per = met.withColumn("_d", F.transform("_arr", lambda s: F.struct(
         s["c"].alias("c"), s["n"].alias("n"), V.dot(F.col("v"), s["s"]).alias("xs"))))
-    xx = V.dot("v", "v")
     own = F.filter("_d", lambda d: d["c"] == F.col("cluster"))[0]
-    a = F.when(own["n"] > 1, ((own["n"] - 1) - (own["xs"] - xx)) / (own["n"] - 1))
-    others = F.transform(F.filter("_d", lambda d: d["c"] != F.col("cluster")),
-                         lambda d: (d["n"] - d["xs"]) / d["n"])
-    return per.select("key", "cluster", a.alias("a"), F.array_min(others).alias("b"), own["n"].alias("own_n"))
+    others = F.transform(F.filter("_d", lambda d: d["c"] != F.col("cluster")), lambda d: (d["n"] - d["xs"]) / d["n"])
+    a = F.when(own["n"] > 1, ((own["n"] - 1) - (own["xs"] - V.dot("v", "v"))) / (own["n"] - 1))
+    part = per.select("key", "cluster", a.alias("a"), F.array_min(others).alias("b"), own["n"].alias("own_n"))
+    return part.groupBy("key", "cluster").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("own_n").alias("own_n"))
 
 
 def _silhouette_value(a, b, own_n):
@@ -53,14 +52,9 @@ def silhouette_points_cosine(df: DataFrame, key_col: str = "key", vec_col: str =
                              cluster_col: str = "cluster") -> DataFrame:
     """Per-point cosine silhouette (key, cluster, silhouette)."""
     pts = _prep(df, key_col, vec_col, cluster_col, normalize=True)
-    k_clusters = pts.select("cluster").distinct().count()
-    dims = len((pts.select("v").first() or [[]])[0] or [])
-    if k_clusters * max(1, dims) <= SCALAR_LIMIT:
-        sums = V.group_vector_sums(pts, "cluster", "v", "vsum")
-        ab = _silhouette_from_sums(pts, sums)
-        out = ab.select("key", "cluster", _silhouette_value(F.col("a"), F.col("b"), F.col("own_n")).alias("silhouette"))
-    else:
-        out = _silhouette_blocked(pts, metric="cosine")
+    sums = V.group_vector_sums(pts, "cluster", "v", "vsum")
+    ab = _silhouette_from_sums(pts, sums)
+    out = ab.select("key", "cluster", _silhouette_value(F.col("a"), F.col("b"), F.col("own_n")).alias("silhouette"))
     return out.withColumnRenamed("key", key_col).withColumnRenamed("cluster", cluster_col)
 
 

@@ -26,6 +26,31 @@ def term_frequencies(docs: DataFrame, id_col: str, tokens_col: str,
             .groupBy(id_col, term_col).agg(F.count(F.lit(1)).alias(tf_col)))
 
 
+def term_stats(docs: DataFrame, tokens_col: str, term_col: str = "term") -> DataFrame:
+    """(term, doc_freq, total_count) of documents with one row each, in one map-side combined aggregate.
+
+    Each row emits its tokens and its distinct tokens, so no (document, term) pair is shuffled.
+    """
+    both = F.concat(F.transform(tokens_col, lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))),
+                    F.transform(F.array_distinct(tokens_col), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))
+    return (docs.select(F.explode(both).alias("_x")).groupBy(F.col("_x.t").alias(term_col))
+            .agg(F.sum(F.col("_x.d").cast("bigint")).alias("doc_freq"),
+                 F.sum((1 - F.col("_x.d")).cast("bigint")).alias("total_count")))
+
+
+def vocabulary_of_tokens(docs: DataFrame, tokens_col: str, term_col: str = "term", min_df: float = 1.0,
+                         max_df: float = 2 ** 63 - 1, vocab_size: int = 1 << 18) -> DataFrame:
+    """X3/X7 from token rows: as ``fit_vocabulary``, without the (document, term) table."""
+    return _numbered(term_stats(docs, tokens_col, term_col), docs, term_col, min_df, max_df, vocab_size)
+
+
+def class_term_counts(docs: DataFrame, class_col: str, tokens_col: str, term_col: str = "term",
+                      tf_col: str = "tf") -> DataFrame:
+    """A12 from token rows: (class, term, tf) in one map-side combined aggregate."""
+    return (docs.select(class_col, F.explode(tokens_col).alias(term_col))
+            .groupBy(class_col, term_col).agg(F.count(F.lit(1)).alias(tf_col)))
+
+
 def _df_bound(value: float, n_docs):
     """Spark CountVectorizer rule: >= 1 is a document count, < 1 a fraction."""
     return F.lit(float(value)) if value >= 1.0 else F.lit(float(value)) * n_docs
@@ -39,9 +64,13 @@ def fit_vocabulary(tf: DataFrame, docs: DataFrame, id_col: str = "doc_id", term_
     Terms with ``min_df <= df <= max_df`` (CountVectorizer semantics), then the
     ``vocab_size`` most frequent by (total desc, term asc), numbered from 0.
     """
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
     stats = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("doc_freq"),
                                      F.sum(tf_col).alias("total_count"))
+    return _numbered(stats, docs, term_col, min_df, max_df, vocab_size)
+
+
+def _numbered(stats: DataFrame, docs: DataFrame, term_col: str, min_df: float, max_df: float, vocab_size: int) -> DataFrame:
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
     stats = stats.where((F.col("doc_freq") >= _df_bound(min_df, n_docs))
                         & (F.col("doc_freq") <= _df_bound(max_df, n_docs)))
     top = stats.orderBy(F.col("total_count").desc(), F.col(term_col).asc()).limit(vocab_size)
@@ -109,10 +138,11 @@ def term_probabilities(class_tf: DataFrame, class_col: str, term_col: str = "ter
 
     Adds ``class_tokens`` (N_c), ``term_total`` (n_t), ``corpus_tokens`` (N).
     """
-    term_tot = class_tf.groupBy(term_col).agg(F.sum(tf_col).alias("term_total"))
     class_tot = class_tf.groupBy(class_col).agg(F.sum(tf_col).alias("class_tokens"))
-    corpus = class_tf.select(F.sum(tf_col)).scalar()
-    return (class_tf.join(term_tot, term_col).join(class_tot, class_col)
+    corpus = class_tot.select(F.sum("class_tokens")).scalar()
+    # a term has at most one row per class, so its window is small
+    term_tot = F.sum(tf_col).over(Window.partitionBy(term_col))
+    return (class_tf.withColumn("term_total", term_tot).join(class_tot, class_col)
             .withColumn("corpus_tokens", corpus)
             .withColumn("p_term_given_class", F.col(tf_col) / F.col("class_tokens"))
             .withColumn("p_term", F.col("term_total") / F.col("corpus_tokens")))
@@ -120,17 +150,16 @@ def term_probabilities(class_tf: DataFrame, class_col: str, term_col: str = "ter
 
 def _ranked(probs: DataFrame, class_col: str, term_col: str, score, order_key, k: int,
             bottom: bool) -> DataFrame:
-    """Top (and bottom) k per class in one pass: both ranks are computed in
-    the same projection, then each kept (row, direction) is emitted once."""
-    w_top = Window.partitionBy(class_col).orderBy(order_key.desc(), F.col(term_col).asc())
-    ranked = probs.select(class_col, term_col, score.alias("score"), F.row_number().over(w_top).alias("_rt"),
-                          *([F.row_number().over(Window.partitionBy(class_col).orderBy(
-                              order_key.asc(), F.col(term_col).asc())).alias("_rb")] if bottom else []))
-    dirs = [F.when(F.col("_rt") <= k, F.struct(F.lit("top").alias("direction"), F.col("_rt").alias("rank")))]
-    if bottom:
-        dirs.append(F.when(F.col("_rb") <= k, F.struct(F.lit("bottom").alias("direction"), F.col("_rb").alias("rank"))))
-    out = ranked.select(class_col, term_col, "score", F.explode(F.filter(F.array(*dirs), lambda x: x.isNotNull())).alias("_d"))
-    return out.select(class_col, term_col, "score", F.col("_d.rank").alias("rank"), F.col("_d.direction").alias("direction"))
+    """Top (and bottom) k per class; one rank per branch, so each task keeps k rows per class before the shuffle."""
+    keyed = probs.select(class_col, term_col, score.alias("score"), order_key.alias("_key"))
+
+    def branch(name: str, order) -> DataFrame:
+        w = Window.partitionBy(class_col).orderBy(order, F.col(term_col).asc())
+        return (keyed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select(class_col, term_col, "score", "rank", F.lit(name).alias("direction")))
+
+    top = branch("top", F.col("_key").desc())
+    return top.unionByName(branch("bottom", F.col("_key").asc())) if bottom else top
 
 
 def pmi_labels(class_tf: DataFrame, class_col: str, k: int = 10, term_col: str = "term",
@@ -156,11 +185,10 @@ def popescul_ungar_labels(class_tf: DataFrame, class_col: str, k: int = 10, term
     return _ranked(p, class_col, term_col, score, key, k, bottom)
 
 
-def term_ids_to_words(df: DataFrame, ids_col: str, vocab_terms: list[str], out_col: str) -> DataFrame:
-    """Term-id array -> blank-joined words with ``element_at`` (no UDF).
-
-    ``vocab_terms`` is the (bounded) vocabulary in id order.
-    """
-    arr = F.array(*[F.lit(t) for t in vocab_terms])
-    return df.withColumn(out_col, F.array_join(
-        F.transform(ids_col, lambda i: F.element_at(arr, (i + 1).cast("int"))), " "))
+def term_ids_to_words(df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str, term_col: str = "term") -> DataFrame:
+    """Term-id array -> blank-joined words, by a join with the (term_id, term) table; rows keep their order of ids."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    words = (keyed.select("_row", F.posexplode(ids_col).alias("_pos", "term_id")).join(vocab.select("term_id", term_col), "term_id")
+             .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", term_col))).alias("_w"))
+             .select("_row", F.array_join(F.transform("_w", lambda w: w[term_col]), " ").alias(out_col)))
+    return keyed.join(words, "_row", "left").withColumn(out_col, F.coalesce(out_col, F.lit(""))).drop("_row")

@@ -29,7 +29,7 @@ def community2vec_prep(comments: DataFrame, top_n: int = S.DEFAULT_TOP_N,
     if user_profile_pattern:
         top_input = FL.filter_by_regex(comments, community_col, user_profile_pattern)
     counts = A.get_top_n_counts(top_input, community_col, top_n)
-    kept = A.filter_top_n(comments, counts, community_col, n_bound=top_n)
+    kept = A.filter_top_n(comments, counts, community_col)
     kept = FL.remove_deleted_authors(kept, author_col)
     contexts = A.aggregate_for_vectorization(kept, author_col, community_col,
                                              min_sentence_length=min_sentence_length,
@@ -52,8 +52,8 @@ def bag_of_words_prep(comments: DataFrame, submissions: DataFrame, top_n: int =
     c = FL.filter_by_regex(comments)
     s = FL.filter_by_regex(submissions)
     counts = A.get_top_n_counts(c if top_n_from == "comments" else s, S.COMMUNITY, top_n)
-    c = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(c, counts, n_bound=top_n), S.COMMENTS))
-    s = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(s, counts, n_bound=top_n), S.SUBMISSIONS))
+    c = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(c, counts), S.COMMENTS))
+    s = FL.remove_deleted_authors(FL.remove_deleted_text(A.filter_top_n(s, counts), S.SUBMISSIONS))
     c = A.filter_out_top_users(c, S.AUTHOR, exclude_top_perc)
     s = FL.prefix_id_column(s, S.SUBMISSIONS)
     pairs = join_submissions_and_comments(s, c)
@@ -86,7 +86,8 @@ def text_job(pairs: DataFrame, min_df: float = 0.05, max_df: float = 0.95, vocab
     vec, _ = T.to_count_vectors(docs, words, vocab)
     if use_idf:
         from pyspark.ml.feature import IDF
-        vec = IDF(inputCol=S.VECTORIZED, outputCol="tfidf").fit(vec).transform(vec)
+        counts = vec.withColumnRenamed(S.VECTORIZED, "_counts")
+        vec = IDF(inputCol="_counts", outputCol=S.VECTORIZED).fit(counts).transform(counts).drop("_counts")
     _, stats = A.document_length_statistics(docs, S.TOKENS)
     return vec, vocab, stats
 

@@ -20,7 +20,7 @@ _TOP = (f"top AS (SELECT subreddit FROM (SELECT subreddit, count(*) AS n FROM c
 def _top_filtered(spark, d):
     c = roles.comments(spark, d)
     top = A.get_top_n_counts(c, "subreddit", TOP_N)
-    return c, A.filter_top_n(c, top, "subreddit", n_bound=TOP_N)
+    return c, A.filter_top_n(c, top, "subreddit")
 
 
 @query("top_n_communities", f"""
@@ -38,7 +38,7 @@ WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey
 def filter_top_n_semi(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     top = A.get_top_n_counts(li, "l_partkey", TOP_N)
-    return A.filter_top_n(li, top, "l_partkey", n_bound=TOP_N)
+    return A.filter_top_n(li, top, "l_partkey")
 
 
 @query("regex_filter_keep", """

@@ -16,7 +16,7 @@ MAX_DELTA = 180 * 86400
 MIN_DELTA = 86400
 MIN_DF = 2.0
 MAX_DF = 0.95
-VOCAB_SIZE = 2000
+VOCAB_SIZE = 1 << 18
 LABEL_K = 10
 
 _PAIRS_SQL = f"""
@@ -117,9 +117,7 @@ def docs_tf(spark, d):
 
 
 def vocab_df(spark, d):
-    docs = table(spark, d, "documents")
-    return T.fit_vocabulary(docs_tf(spark, d), docs, "doc_id", min_df=MIN_DF, max_df=MAX_DF,
-                            vocab_size=VOCAB_SIZE)
+    return T.vocabulary_of_tokens(docs_filtered(spark, d), "tokens", min_df=MIN_DF, max_df=MAX_DF, vocab_size=VOCAB_SIZE)
 
 
 @query("tokens", _TOK_SQL + """
@@ -175,8 +173,7 @@ def tfidf_vectors(spark, d):
 
 
 def class_tf_df(spark, d):
-    docs = table(spark, d, "documents")
-    return T.class_term_totals(docs_tf(spark, d), docs, "doc_id", "source")
+    return T.class_term_counts(docs_filtered(spark, d), "source", "tokens")
 
 
 _CLASS_SQL = _FILT_SQL + """,

@@ -79,6 +79,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):  # also not local-cluster: its executors are other processes
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tribewise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -97,7 +99,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tw-state-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._state_path = path
+    return out
+
+
+def drop_state(*tables: DataFrame | None) -> None:
+    """Delete the files of ``cut_lineage`` tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_state_path", None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def default_parallelism(spark: SparkSession) -> int:
