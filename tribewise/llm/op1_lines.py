@@ -85,16 +85,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text_col: str = "text", w
     """``docs`` with n_lines, n_removed and ``deduped``, the text without its repeated lines."""
     base = docs.drop(*ADDED)
     h1, h2 = text_key(text_col)
-    left = base.withColumns({"_ld_lines": F.split(F.col(text_col), "\n"), "_ld_a": h1, "_ld_b": h2})
+    left = base.withColumns({"_ld_a": h1, "_ld_b": h2})
     gone = repeated_lines(docs, key, text_col, window).select(
         F.col("k").alias("_ld_k"), F.col("h1").alias("_ld_h1"), F.col("h2").alias("_ld_h2"), F.col("removed").alias("_ld_gone"))
     joined = left.join(gone, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_a") == F.col("_ld_h1"))
                        & (F.col("_ld_b") == F.col("_ld_h2")), "left")
-    lines, removed = F.col("_ld_lines"), F.col("_ld_gone")
-    edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
-    kept = _let(edges, lambda e: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(lines, e[i] + 2, e[i + 1] - e[i] - 1))))
+    removed, split = F.col("_ld_gone"), F.split(F.col(text_col), "\n")
+
+    def kept(lines):  # the stretches between removed lines
+        edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
+        return _let(edges, lambda e: F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(lines, e[i] + 2, e[i + 1] - e[i] - 1))))
+
     return joined.select(
-        *base.columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        *base.columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.when(removed.isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"),
-        F.when(removed.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("deduped"))
+        F.when(removed.isNull(), F.col(text_col)).otherwise(F.array_join(_let(split, kept), "\n")).alias("deduped"))
