@@ -222,3 +222,39 @@ def test_bag_of_words_job(spark):
         "id string, link_id string, author string, created_utc long, body string, subreddit string")
     pairs = bag_of_words_prep(com, subs, top_n=10, exclude_top_perc=0.0, min_time_delta=0)
     assert rows(pairs, "id", "comments_id", "time_to_comment_in_seconds") == [("s1", "c1", 50)]
+
+
+def test_agreement_with_missing_ratings(spark):
+    table = [(1, 1, 1, 0), (2, 0, 0, 0), (3, 1, None, 1), (4, None, 0, None), (5, 1, 0, 1), (6, None, None, None)]
+    df = spark.createDataFrame(table, "item int, a int, b int, c int")
+    votes = [[v for v in r[1:] if v is not None] for r in table]
+    votes = [v for v in votes if v]
+    many = [v for v in votes if len(v) > 1]
+    pa = sum(sum(v.count(k) * (v.count(k) - 1) for k in (0, 1)) / (len(v) * (len(v) - 1)) for v in many) / len(many)
+    pi = [sum(v.count(k) / len(v) for v in votes) / len(votes) for k in (0, 1)]
+    fleiss, gwet = sum(x * x for x in pi), sum(x * (1 - x) for x in pi)
+    got = AN.agreement(df, "item", ["a", "b", "c"]).first()
+    assert got["items"] == 5 and math.isclose(got["observed_agreement"], pa)
+    assert math.isclose(got["fleiss_kappa"], (pa - fleiss) / (1 - fleiss)) and math.isclose(got["gwet_ac1"], (pa - gwet) / (1 - gwet))
+    assert rows(AN.pairwise_agreement(df, "item", ["a", "b", "c"]), "raters") == [("a,b",), ("a,c",), ("b,c",)]
+    scored = spark.createDataFrame([(0.5,), (1.0,), (0.0,)], "model_precision double")
+    assert rows(AN.precision_summary(scored), "rows", "mean", "stddev") == [(3, 0.5, 0.5)]
+
+
+def test_components_of_a_long_path(spark):
+    from tribewise.operators.graph import connected_components
+    edges = spark.createDataFrame([(i, i + 1) for i in range(63)], "src long, dst long")
+    got = connected_components(spark.range(65), edges).collect()
+    assert {r["component"] for r in got if r["id"] < 64} == {0} and {r["id"]: r["component"] for r in got}[64] == 64
+
+
+def test_matching_runs_to_the_end(spark):
+    cells = spark.createDataFrame([(i, j, 100 - 10 * max(i, j) - (i != j)) for i in range(4) for j in range(4)], "c1 long, c2 long, n long")
+    assert rows(C.maximum_matching(cells), "c1", "c2") == [(i, i) for i in range(4)]
+
+
+def test_folded_analogy_keys_do_not_multiply(spark):
+    vectors = spark.createDataFrame([("man", [1.0, 0.0]), ("MAN", [1.0, 0.0]), ("king", [1.0, 1.0]), ("woman", [0.0, 1.0]),
+                                     ("queen", [0.0, 2.0])], "key string, vector array<double>")
+    one = spark.createDataFrame([("s", "man", "king", "woman", "queen")], "section string, a string, b string, c string, d string")
+    assert E.score_analogies(one, vectors, case_insensitive=True).count() == 1

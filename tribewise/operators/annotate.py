@@ -13,6 +13,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,30 +118,35 @@ def coherence_scores(ratings: DataFrame, rater_cols: list[str]) -> DataFrame:
 def agreement(ratings: DataFrame, item_col: str, rater_cols: list[str]) -> DataFrame:
     """One row (raters, items, observed_agreement, fleiss_kappa, gwet_ac1).
 
-    Closed forms for complete ratings: with r raters and r_ik raters putting
-    item i in category k, p_a = mean_i sum_k r_ik (r_ik - 1) / (r (r - 1)),
-    pi_k = mean_i r_ik / r; Fleiss p_e = sum_k pi_k^2, Gwet p_e =
-    sum_k pi_k (1 - pi_k) / (q - 1) with q the number of categories seen.
-    Items with a missing rating are left out.
+    Closed forms with missing ratings: r_ik of the r_i raters of item i chose
+    category k.  p_a is the mean of sum_k r_ik (r_ik - 1) / (r_i (r_i - 1)) over
+    items with two ratings or more, pi_k the mean of r_ik / r_i over items with
+    any; Fleiss p_e = sum_k pi_k^2, Gwet p_e = sum_k pi_k (1 - pi_k) / (q - 1)
+    with q the number of categories seen.  ``items`` counts items with any rating.
     """
-    r = len(rater_cols)
-    complete = ratings.where(F.greatest(*[F.col(c).isNull() for c in rater_cols]) == F.lit(False)) if r > 1 else ratings
-    long = complete.unpivot([item_col], rater_cols, "rater", "category")
+    long = ratings.unpivot([item_col], rater_cols, "rater", "category").where(F.col("category").isNotNull())
     cells = long.groupBy(item_col, "category").agg(F.count(F.lit(1)).alias("r_ik"))
-    n_items = complete.select(F.count(F.lit(1))).scalar()
-    per_item = cells.groupBy(item_col).agg(F.sum(F.col("r_ik") * (F.col("r_ik") - 1)).alias("_agree"))
-    pa = per_item.agg((F.sum("_agree") / (n_items * float(r * (r - 1)))).alias("p_a"))
-    pik = cells.groupBy("category").agg((F.sum("r_ik") / (n_items * float(r))).alias("pi"))
+    per_item = cells.groupBy(item_col).agg(F.sum("r_ik").alias("r_i"), F.sum(F.col("r_ik") * (F.col("r_ik") - 1)).alias("_agree"))
+    pa = per_item.agg(F.count(F.lit(1)).alias("items"), F.avg(F.when(
+        F.col("r_i") > 1, F.col("_agree") / (F.col("r_i") * (F.col("r_i") - 1)))).alias("p_a"))
+    n_items = per_item.select(F.count(F.lit(1))).scalar()
+    pik = (cells.join(per_item, item_col).groupBy("category")
+           .agg((F.sum(F.col("r_ik") / F.col("r_i")) / n_items).alias("pi")))
     pe = pik.agg(F.sum(F.col("pi") * F.col("pi")).alias("pe_f"),
                  F.sum(F.col("pi") * (1 - F.col("pi"))).alias("_g"), F.count(F.lit(1)).alias("q"))
     j = pa.withColumn("_k", F.lit(1)).join(pe.withColumn("_k", F.lit(1)), "_k")
     pe_g = F.when(F.col("q") > 1, F.col("_g") / (F.col("q") - 1)).otherwise(F.lit(0.0))
-    return j.select(F.lit(",".join(rater_cols)).alias("raters"), n_items.alias("items"),
+    return j.select(F.lit(",".join(rater_cols)).alias("raters"), "items",
                     F.col("p_a").alias("observed_agreement"),
                     F.try_divide(F.col("p_a") - F.col("pe_f"), 1 - F.col("pe_f")).alias("fleiss_kappa"),
                     F.try_divide(F.col("p_a") - pe_g, 1 - pe_g).alias("gwet_ac1"))
 
 
+def pairwise_agreement(ratings: DataFrame, item_col: str, rater_cols: list[str]) -> DataFrame:
+    """M19 for every pair of raters, one row each."""
+    return reduce(DataFrame.unionByName, [agreement(ratings, item_col, list(pair)) for pair in combinations(rater_cols, 2)])
+
+
 def landis_koch(coef) -> F.Column:
     """Landis-Koch band of a coefficient (fixed values: the published scale)."""
     c = F.col(coef) if isinstance(coef, str) else coef
@@ -156,6 +164,11 @@ def intruder_precision(answers: DataFrame, key: DataFrame, id_cols: list[str], a
     return j.withColumn("matches", total).withColumn("model_precision", F.col("matches") / float(len(annotator_cols)))
 
 
+def precision_summary(scored: DataFrame, col: str = "model_precision") -> DataFrame:
+    """M23 over all task rows: (rows, mean, stddev) with the sample standard deviation."""
+    return scored.agg(F.count(col).alias("rows"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("stddev"))
+
+
 def selection_union(df: DataFrame, key_col: str, cluster_col: str, keys: DataFrame, clusters: DataFrame) -> DataFrame:
     """Rows of the selected keys plus rows of the selected clusters, without duplicates."""
     a = df.join(keys.select(key_col).distinct(), key_col, "leftsemi")
