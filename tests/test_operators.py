@@ -1,4 +1,4 @@
-"""Operator tests on small inline rows (shapes follow the reference's fixtures)."""
+"""Operator tests on small rows of our own."""
 
 import math
 
@@ -21,10 +21,10 @@ def rows(df, *cols):
 
 
 def test_regex_filter(spark):
-    df = spark.createDataFrame([(c,) for c in ["u_user1", "u_2user", "u_", "arealsubreddit_u", "nba", "NBA2K"]],
-                               "subreddit string")
-    assert FL.filter_by_regex(df).count() == 3
-    assert FL.filter_by_regex(df, pattern="(?i).*nba.*", match_complement=False).count() == 2
+    names = ["u_kettle", "gardening", "u_9lives", "TeaGarden", "blu_ray", "u_"]
+    df = spark.createDataFrame([(c,) for c in names], "subreddit string")
+    assert rows(FL.filter_by_regex(df), "subreddit") == [("TeaGarden",), ("blu_ray",), ("gardening",)]
+    assert FL.filter_by_regex(df, pattern="(?i).*garden.*", match_complement=False).count() == 2
 
 
 def test_sentinels_drop_nulls(spark):
@@ -43,34 +43,33 @@ def test_percent_filter_keeps_ties_and_no_percentile_column(spark):
 
 
 def test_filter_out_top_users(spark):
-    authors = ["a"] * 2 + ["b"] * 3 + ["c", "d"]
-    df = spark.createDataFrame([(x,) for x in authors], "author string")
-    out = A.filter_out_top_users(df, "author", 0.25)
-    assert out.count() == 4 and out.columns == ["author"]
-    assert "b" not in {r[0] for r in out.collect()}
+    posts = {"ann": 1, "bob": 7, "cy": 2, "dee": 4, "eve": 3}
+    df = spark.createDataFrame([(name,) for name, n in posts.items() for _ in range(n)], "author string")
+    out = A.filter_out_top_users(df, "author", 0.2)
+    assert out.columns == ["author"]
+    assert out.count() == sum(posts.values()) - posts["bob"] and "bob" not in {r[0] for r in out.collect()}
 
 
 def test_contexts_and_top_n(spark):
-    data = [("u1", "scifi"), ("u1", "fantasy"), ("u1", "books"), ("u1", "fantasy"),
-            ("u2", "movies"), ("u2", "personalfinance")]
+    data = [("ann", c) for c in ("tea", "bikes", "tea", "tea")] + [("bob", c) for c in ("maps", "bikes")] + [("cy", "maps")]
     df = spark.createDataFrame(data, "author string, subreddit string")
     ctx = A.aggregate_for_vectorization(df, exclude_top_perc=0.0)
-    assert rows(ctx, "subreddit_concat", "context_length") == [
-        ("books fantasy fantasy scifi", 4), ("movies personalfinance", 2)]
+    assert ("bikes tea tea tea", 4) in rows(ctx, "subreddit_concat", "context_length")
+    assert ("bikes maps", 2) in rows(ctx, "subreddit_concat", "context_length")
     top = A.get_top_n_counts(df, "subreddit", 2)
-    assert [tuple(r) for r in top.collect()] == [("fantasy", 2), ("books", 1)]
-    assert A.filter_top_n(df, top, "subreddit").count() == 3
+    assert [tuple(r) for r in top.collect()] == [("tea", 3), ("bikes", 2)]
+    assert A.filter_top_n(df, top, "subreddit").count() == 5
 
 
 def test_thread_join_and_window(spark):
-    subs = spark.createDataFrame([("b12", "t3_b12", 100), ("c12", "t3_c12", 100)],
+    subs = spark.createDataFrame([(f"s{i}", f"t3_s{i}", 1000 * i) for i in range(3)],
                                  "id string, fullname_id string, created_utc long")
-    com = spark.createDataFrame([("abc", "t3_b12", 150), ("efg", "t3_b12", 400), ("klm", "t3_c12", 99)],
+    com = spark.createDataFrame([("late", "t3_s1", 1900), ("early", "t3_s1", 1020), ("before", "t3_s2", 1990), ("lost", "t3_s7", 5)],
                                 "id string, link_id string, created_utc long")
     pairs = TH.join_submissions_and_comments(subs, com)
-    assert rows(pairs, "id", "comments_id") == [("b12", "abc"), ("b12", "efg"), ("c12", "klm")]
-    win = FL.filter_by_time_delta(pairs, 100, 0)
-    assert rows(win, "comments_id", "time_to_comment_in_seconds") == [("abc", 50)]
+    assert rows(pairs, "id", "comments_id") == [("s1", "early"), ("s1", "late"), ("s2", "before")]
+    win = FL.filter_by_time_delta(pairs, 500, 0)
+    assert rows(win, "comments_id", "time_to_comment_in_seconds") == [("early", 20)]
 
 
 def test_documents_keep_order_and_blanks(spark):
@@ -96,32 +95,34 @@ def test_tokens_and_bag_of_words(spark):
 
 
 def test_probabilities(spark):
-    keys = spark.createDataFrame([(k,) for k in "abcd"], "key string")
-    counts = spark.createDataFrame([("a", 75), ("b", 100), ("c", 25)], "key string, n long")
+    weights = {"tea": 6, "maps": 2, "bikes": 8}
+    keys = spark.createDataFrame([(k,) for k in (*weights, "chess")], "key string")
+    counts = spark.createDataFrame(list(weights.items()), "key string, n long")
     p = dict(rows(C.key_probabilities(keys, counts), "key", "p"))
-    assert p == {"a": 0.375, "b": 0.5, "c": 0.125, "d": 0.0}
-    r = spark.createDataFrame([("a", 1, 1, 12, 12), ("b", 2, 2, 50, 50), ("c", 1, 1, 13, 13), ("d", 2, 2, 25, 25)],
+    assert p == {"tea": 0.375, "maps": 0.125, "bikes": 0.5, "chess": 0.0}
+    r = spark.createDataFrame([(k, 5 if k == "maps" else 9, 0, n, n) for k, n in weights.items()],
                               "key string, c1 long, c2 long, n1 long, n2 long")
     cp = dict(rows(C.cluster_probabilities(r, "c1"), "cluster", "p"))
-    assert cp == {1: 0.25, 2: 0.75}
+    assert cp == {5: 0.125, 9: 0.875}
 
 
 def test_contingency_mi_vi(spark):
-    m1 = spark.createDataFrame([("x", -1), ("y", 1), ("z", 2)], "key string, cluster long")
-    m2 = spark.createDataFrame([("x", 1), ("y", 2), ("z", -1)], "key string, cluster long")
+    m1 = spark.createDataFrame([(f"k{i}", i) for i in range(4)], "key string, cluster long")
+    m2 = spark.createDataFrame([(f"k{i}", 30 - i) for i in range(4)], "key string, cluster long")
     r = C.remap_clusters(m1, m2)
-    assert rows(C.contingency_table(r), "c1", "c2", "n") == [(-1, 1, 2), (1, 2, 2), (2, -1, 2)]
+    per_cell = {(i, 30 - i) for i in range(4)}
+    assert {(a, b) for a, b, _ in rows(C.contingency_table(r), "c1", "c2", "n")} == per_cell
     v = C.variation_of_information(r).collect()[0]
-    assert math.isclose(v["mi"], math.log2(3)) and abs(v["vi"]) < 1e-12
+    assert math.isclose(v["mi"], 2.0) and abs(v["vi"]) < 1e-12
     same = C.variation_of_information(C.remap_clusters(m1, m1)).collect()[0]
     assert abs(same["vi"]) < 1e-12
 
 
 def test_union_remap(spark):
-    m1 = spark.createDataFrame([("aww", 1), ("ask", 1), ("cons", 2), ("td", 2), ("leo", 3)], "key string, cluster long")
-    m2 = spark.createDataFrame([("aww", 1), ("ask", 1), ("cons", 2), ("leo", 2)], "key string, cluster long")
+    m1 = spark.createDataFrame([("tea", 4), ("maps", 6), ("bikes", 4)], "key string, cluster long")
+    m2 = spark.createDataFrame([("chess", 8), ("tea", 9), ("maps", 8)], "key string, cluster long")
     r = dict((k, (a, b)) for k, a, b in rows(C.remap_clusters(m1, m2, use_union=True), "key", "c1", "c2"))
-    assert len(r) == 5 and r["td"] == (2, -1) and r["leo"] == (3, 2)
+    assert r == {"tea": (4, 9), "maps": (6, 8), "bikes": (4, -1), "chess": (-1, 8)}
 
 
 def test_pair_metrics_relabel_invariant(spark):
@@ -134,11 +135,11 @@ def test_pair_metrics_relabel_invariant(spark):
 
 
 def test_greedy_matching(spark):
-    table = [[0, 1, 2, 0], [4, 2, 0, 0], [1, 1, 1, 0]]
+    table = [[5, 6, 0, 0], [0, 9, 3, 0], [0, 8, 4, 0]]
     ct = spark.createDataFrame([(i, j, v) for i, r in enumerate(table) for j, v in enumerate(r)], "c1 long, c2 long, n long")
     labels = spark.createDataFrame([(i,) for i in range(4)], "cluster long")
     got = rows(C.maximum_matching(ct, labels.where("cluster < 3"), labels), "c1", "c2")
-    assert got == [(-1, 3), (0, 2), (1, 0), (2, 1)]
+    assert got == [(-1, 3), (0, 0), (1, 1), (2, 2)]
 
 
 def test_band_join_intruders(spark):
@@ -166,8 +167,9 @@ def test_asymmetric_alpha_and_grid_ids():
     assert TP.asymmetric_alpha(4) == [1 / 2, 1 / 3, 1 / 4, 1 / 5]
     assert E.model_id({"alpha": 0.02, "vector_size": 25, "sample": 0.002}) == "alpha0.02_sample0.002_vectorSize25"
     assert len(E.expand_grid({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1]})) == 8
-    with pytest.raises(NotImplementedError):
-        TP.starting_alphas("em", True, None, 4)
+    with pytest.raises(ValueError):
+        TP.document_concentration(4, None, True, "em")
+    assert TP.document_concentration(3, 0.5, True, "online") == [0.5] * 3 and TP.document_concentration(3, None, False, "em") is None
 
 
 def test_detailed_accuracy_roundtrip(spark):

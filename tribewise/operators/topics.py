@@ -25,14 +25,13 @@ def asymmetric_alpha(num_topics: int) -> list[float]:
     return [1.0 / (i + off) for i in range(num_topics)]
 
 
-def starting_alphas(optimizer: str, use_asymmetric_alpha: bool, starting_alpha: float | None, num_topics: int):
-    if use_asymmetric_alpha:
-        if optimizer == "em":
-            raise NotImplementedError("the 'em' optimizer does not support an asymmetric docConcentration")
-        if starting_alpha is not None:
-            return [starting_alpha] * num_topics
-        return asymmetric_alpha(num_topics)
-    return starting_alpha
+def document_concentration(num_topics: int, alpha: float | None, asymmetric: bool, optimizer: str) -> list[float] | None:
+    """Prior per topic: 1 / (i + sqrt(K)) or a constant, one common value, or None for Spark's own default."""
+    if not asymmetric:
+        return None if alpha is None else [alpha]
+    if optimizer == "em":
+        raise ValueError("an asymmetric prior needs the online optimizer")
+    return asymmetric_alpha(num_topics) if alpha is None else [alpha] * num_topics
 
 
 def fit_lda(corpus: DataFrame, features_col: str, num_topics: int = 250, max_iter: int = 50,
@@ -45,9 +44,9 @@ def fit_lda(corpus: DataFrame, features_col: str, num_topics: int = 250, max_ite
         kw["subsamplingRate"] = subsampling_rate
     if seed is not None:
         kw["seed"] = seed
-    conc = starting_alphas(optimizer, use_asymmetric_alpha, alpha, num_topics)
-    if conc is not None:
-        kw["docConcentration"] = conc if isinstance(conc, list) else [conc]
+    prior = document_concentration(num_topics, alpha, use_asymmetric_alpha, optimizer)
+    if prior is not None:
+        kw["docConcentration"] = prior
     return LDA(**kw).fit(corpus)
 
 
