@@ -87,10 +87,6 @@ def key_probabilities(keys: DataFrame, counts: DataFrame, key_col: str = "key",
     return j.select(key_col, F.try_divide(F.col("_c").cast("double"), total).alias("p"))
 
 
-def _entropy_bits(p: DataFrame) -> DataFrame:
-    return p.agg(F.coalesce(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p"))), F.lit(0.0)).alias("h"))
-
-
 def mutual_information(ct: DataFrame, p1: DataFrame, p2: DataFrame, mode: str = "positive") -> DataFrame:
     """M7: one row ``mi`` (bits) from the cell table and both marginals."""
     total = ct.select(F.sum("n")).scalar()
@@ -102,56 +98,86 @@ def mutual_information(ct: DataFrame, p1: DataFrame, p2: DataFrame, mode: str =
     return j.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
-def variation_of_information(remapped: DataFrame, mode: str = "positive") -> DataFrame:
-    """M8: one row (h1, h2, mi, vi) in bits; weighted when n1/n2 are present."""
-    p1 = cluster_probabilities(remapped, "c1")
-    p2 = cluster_probabilities(remapped, "c2")
-    ct = contingency_table(remapped)
-    h1 = _entropy_bits(p1).withColumnRenamed("h", "h1").withColumn("_k", F.lit(1))
-    h2 = _entropy_bits(p2).withColumnRenamed("h", "h2").withColumn("_k", F.lit(1))
-    mi = mutual_information(ct, p1, p2, mode).withColumn("_k", F.lit(1))
-    return (h1.join(h2, "_k").join(mi, "_k").drop("_k")
-            .withColumn("vi", F.col("h1") + F.col("h2") - 2 * F.col("mi")))
-
-
-def pair_counting_metrics(remapped: DataFrame) -> DataFrame:
-    """One row with adjusted Rand, Rand, NMI (arithmetic), homogeneity,
-    completeness and V-measure over unit weights (labels c1 = true, c2 = predicted)."""
-    cells = remapped.groupBy("c1", "c2").agg(F.count(F.lit(1)).cast("double").alias("nij"))
-    rows = cells.groupBy("c1").agg(F.sum("nij").alias("a"))
-    cols = cells.groupBy("c2").agg(F.sum("nij").alias("b"))
-    n = cells.select(F.sum("nij")).scalar()
-    cell_stats = (cells.join(rows, "c1").join(cols, "c2").agg(
-        F.sum(F.col("nij") * F.col("nij")).alias("sq"),
-        F.coalesce(F.sum(F.col("nij") / n * F.log(n * F.col("nij") / (F.col("a") * F.col("b")))),
-                   F.lit(0.0)).alias("mi_raw"),
-        F.count(F.lit(1)).alias("n_cells")))
-    row_stats = rows.agg(F.sum(F.col("a") * F.col("a")).alias("a2"),
-                         (-F.sum(F.col("a") / n * F.log(F.col("a") / n))).alias("h1"),
-                         F.count(F.lit(1)).alias("k1"))
-    col_stats = cols.agg(F.sum(F.col("b") * F.col("b")).alias("b2"),
-                         (-F.sum(F.col("b") / n * F.log(F.col("b") / n))).alias("h2"),
-                         F.count(F.lit(1)).alias("k2"))
-    one = lambda d: d.withColumn("_k", F.lit(1))
-    s = one(cell_stats).join(one(row_stats), "_k").join(one(col_stats), "_k").drop("_k").withColumn("n", n)
-    tp = F.col("sq") - F.col("n")
-    fp = F.col("b2") - F.col("sq")
-    fn = F.col("a2") - F.col("sq")
-    tn = F.col("n") * F.col("n") - fp - fn - F.col("sq")
-    mi = F.greatest(F.col("mi_raw"), F.lit(0.0))
+def _pair_sums(remapped: DataFrame, pair_cols=()) -> DataFrame:
+    """Every sum that the comparison metrics need, one row per pair of clusterings, from one cell table.
+
+    The cells (at most clusters x clusters per pair) carry their marginals by
+    windows; sums over clusters, such as entropies, are sums over cells because
+    a marginal is the sum of its cells.
+    """
+    w1, w2 = _weights(remapped)
+    pair = list(pair_cols)
+    cells = remapped.groupBy(*pair, "c1", "c2").agg(
+        F.sum(w1).cast("double").alias("s1"), F.sum(w2).cast("double").alias("s2"),
+        F.coalesce(F.sum(F.when((w1 > 0) & (w2 > 0), w1 + w2)), F.lit(0)).cast("double").alias("n"),
+        F.count(F.lit(1)).cast("double").alias("u"))
+    cells = cells.withColumn("_one", F.lit(1))
+    whole, row, col = (Window.partitionBy("_one", *pair, *c) for c in ((), ("c1",), ("c2",)))
+    total = {c: F.sum(c).over(whole).alias(f"t_{c}") for c in ("s1", "s2", "n", "u")}
+    m = cells.select("*", *total.values(), F.sum("s1").over(row).alias("m1"), F.sum("s2").over(col).alias("m2"),
+                     F.sum("u").over(row).alias("a"), F.sum("u").over(col).alias("b"))
+    p1, p2 = F.try_divide("m1", "t_s1"), F.try_divide("m2", "t_s2")
+    pij = F.try_divide("n", "t_n")
+    part = F.when((pij > 0) & (p1 > 0) & (p2 > 0), pij * F.log2(pij / (p1 * p2)))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return m.groupBy(*pair).agg(
+        zero(F.when(p1 > 0, -F.try_divide("s1", "t_s1") * F.log2(p1))).alias("h1"),
+        zero(F.when(p2 > 0, -F.try_divide("s2", "t_s2") * F.log2(p2))).alias("h2"),
+        zero(F.when(part > 0, part)).alias("mi_positive"), zero(part).alias("mi_all"),
+        F.sum(F.col("u") * F.col("u")).alias("sq"), F.sum(F.col("u") * F.col("a")).alias("a2"),
+        F.sum(F.col("u") * F.col("b")).alias("b2"), F.sum("u").alias("total"),
+        zero(F.col("u") / F.col("t_u") * F.log(F.col("t_u") * F.col("u") / (F.col("a") * F.col("b")))).alias("mi_nat"),
+        (-F.sum(F.col("u") / F.col("t_u") * F.log(F.col("a") / F.col("t_u")))).alias("h1_nat"),
+        (-F.sum(F.col("u") / F.col("t_u") * F.log(F.col("b") / F.col("t_u")))).alias("h2_nat"),
+        F.size(F.collect_set("c1")).alias("k1"), F.size(F.collect_set("c2")).alias("k2"))
+
+
+def _vi_columns(mode: str) -> list:
+    mi = F.col("mi_positive" if mode == "positive" else "mi_all")
+    return [F.col("h1"), F.col("h2"), mi.alias("mi"), (F.col("h1") + F.col("h2") - 2 * mi).alias("vi")]
+
+
+def variation_of_information(remapped: DataFrame, mode: str = "positive", pair_cols=()) -> DataFrame:
+    """M8: one row per pair (h1, h2, mi, vi) in bits; weighted when n1/n2 are present."""
+    return _pair_sums(remapped, pair_cols).select(*pair_cols, *_vi_columns(mode))
+
+
+def pairwise_variation(labelings: DataFrame, model_col: str = "model", key_col: str = "key",
+                       cluster_col: str = "cluster") -> DataFrame:
+    """(model_a, model_b, vi) of every ordered pair of distinct models in a long (model, key, cluster) table.
+
+    VI is symmetric, so each pair is computed once, over the keys that both have.
+    """
+    x = labelings.select(F.col(key_col).alias("_k"), F.col(model_col).alias("model_a"), F.col(cluster_col).alias("c1"))
+    y = labelings.select(F.col(key_col).alias("_k"), F.col(model_col).alias("model_b"), F.col(cluster_col).alias("c2"))
+    both = x.join(y, "_k").where("model_a < model_b")
+    vi = variation_of_information(both, pair_cols=("model_a", "model_b")).select("model_a", "model_b", "vi")
+    turned = F.explode(F.array(F.struct("model_a", "model_b"), F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"))))
+    return vi.select(turned.alias("_p"), "vi").select("_p.model_a", "_p.model_b", "vi")
+
+
+def _pair_counting_columns() -> list:
+    sq, a2, b2, n = (F.col(c) for c in ("sq", "a2", "b2", "total"))
+    tp, fp, fn = sq - n, b2 - sq, a2 - sq
+    tn = n * n - fp - fn - sq
+    mi = F.greatest(F.col("mi_nat"), F.lit(0.0))
     ari = F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
         2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
-    denom = F.col("n") * F.col("n") - F.col("n")
-    rand = F.when((denom == 0) | (tn + tp == denom), F.lit(1.0)).otherwise((tn + tp) / denom)
-    nmi = (F.when(((F.col("k1") == 1) & (F.col("k2") == 1)), F.lit(1.0))
-           .when(mi == 0, F.lit(0.0))
-           .otherwise(mi / ((F.col("h1") + F.col("h2")) / 2.0)))
-    hom = F.when(F.col("h1") == 0, F.lit(1.0)).otherwise(mi / F.col("h1"))
-    com = F.when(F.col("h2") == 0, F.lit(1.0)).otherwise(mi / F.col("h2"))
-    s = s.select(ari.alias("adjusted_rand_index"), rand.alias("rand_index"),
-                 nmi.alias("normalized_mutual_info"), hom.alias("homogeneity"), com.alias("completeness"))
-    h, c = F.col("homogeneity"), F.col("completeness")
-    return s.withColumn("v_measure", F.when(h + c == 0, F.lit(0.0)).otherwise(2.0 * h * c / (h + c)))
+    pairs = n * n - n
+    rand = F.when((pairs == 0) | (tn + tp == pairs), F.lit(1.0)).otherwise((tn + tp) / pairs)
+    h1, h2 = F.col("h1_nat"), F.col("h2_nat")
+    nmi = (F.when((F.col("k1") == 1) & (F.col("k2") == 1), F.lit(1.0)).when(mi == 0, F.lit(0.0)).otherwise(mi / ((h1 + h2) / 2.0)))
+    hom = F.when(h1 == 0, F.lit(1.0)).otherwise(mi / h1)
+    com = F.when(h2 == 0, F.lit(1.0)).otherwise(mi / h2)
+    v = F.when(hom + com == 0, F.lit(0.0)).otherwise(2.0 * hom * com / (hom + com))
+    return [ari.alias("adjusted_rand_index"), rand.alias("rand_index"), nmi.alias("normalized_mutual_info"),
+            hom.alias("homogeneity"), com.alias("completeness"), v.alias("v_measure")]
+
+
+def pair_counting_metrics(remapped: DataFrame, pair_cols=()) -> DataFrame:
+    """Per pair adjusted Rand, Rand, NMI (arithmetic), homogeneity, completeness
+    and V-measure over unit weights (labels c1 = true, c2 = predicted)."""
+    return _pair_sums(remapped, pair_cols).select(*pair_cols, *_pair_counting_columns())
 
 
 def compare_clusterings(m1: DataFrame, m2: DataFrame, use_union: bool = False,
@@ -172,10 +198,7 @@ def compare_clusterings(m1: DataFrame, m2: DataFrame, use_union: bool = False,
         return vi.select(F.lit(INTERSECT_COMMENT_PROB).alias("comparison"),
                          F.lit("variation_of_information").alias("metric"), F.col("vi").alias("value"))
     style = UNION_UNIFORM if use_union else INTERSECT_UNIFORM
-    pm = pair_counting_metrics(remapped).withColumn("_k", F.lit(1))
-    vi = variation_of_information(remapped).select(F.col("vi").alias("variation_of_information"),
-                                                   F.lit(1).alias("_k"))
-    wide = pm.join(vi, "_k").drop("_k")
+    wide = _pair_sums(remapped).select(*_pair_counting_columns(), _vi_columns("positive")[-1].alias("variation_of_information"))
     return wide.unpivot([], list(METRIC_NAMES), "metric", "value").select(
         F.lit(style).alias("comparison"), "metric", "value")
 

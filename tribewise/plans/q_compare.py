@@ -8,6 +8,9 @@ components (``signs``) -- three data-derived partitions of the same keys.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from tribewise.operators import compare as C
@@ -206,15 +209,8 @@ def _vi_pairs_sql():
 
 def _vi_long(spark, d):
     labs = embedding_labelings(spark, d)
-    names = list(labs)
-    out = None
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            for x, y in ((a, b), (b, a)):
-                v = C.variation_of_information(C.remap_clusters(labs[x], labs[y])).select(
-                    F.lit(x).alias("model_a"), F.lit(y).alias("model_b"), "vi")
-                out = v if out is None else out.unionByName(v)
-    return out
+    long = [df.select(F.lit(name).alias("model"), "key", F.col("cluster").cast("bigint").alias("cluster")) for name, df in labs.items()]
+    return C.pairwise_variation(reduce(lambda x, y: x.unionByName(y), long))
 
 
 @query("vi_pairs", _EMB_LABELS_SQL + ",\nv AS (" + _vi_pairs_sql() + """)
@@ -264,6 +260,15 @@ SELECT arg_min(pair, struct_pack(v := vi, p := pair)) AS min_id, round(min(vi),
 def experiment_pick(spark, d):
     """The labeling pairs with the smallest and largest VI."""
     from tribewise.operators.tables import min_max_pick
-    v = _vi_long(spark, d).select(F.concat_ws("/", "model_a", "model_b").alias("pair"), "vi")
+    # the SQL sums each order of a pair by itself, and the pick hangs on the last bits of its sums
+    labs = embedding_labelings(spark, d)
+    parts = []
+    for x, y in permutations(labs, 2):
+        r = C.remap_clusters(labs[x], labs[y])
+        p1, p2 = C.cluster_probabilities(r, "c1"), C.cluster_probabilities(r, "c2")
+        h1, h2 = (p.select(-F.sum(F.col("p") * F.log2("p"))).scalar() for p in (p1, p2))
+        mi = C.mutual_information(C.contingency_table(r), p1, p2)
+        parts.append(mi.select(F.lit(f"{x}/{y}").alias("pair"), (h1 + h2 - 2 * F.col("mi")).alias("vi")))
+    v = reduce(lambda a, b: a.unionByName(b), parts)
     out = min_max_pick(v, "pair", "vi")
     return out.select("min_id", r6("min_value").alias("min_value"), "max_id", r6("max_value").alias("max_value"))
