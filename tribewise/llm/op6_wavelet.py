@@ -35,7 +35,7 @@ from .words import joined, span_hashes
 
 MAGIC = b"WVMX0001"
 BLOCK = 4096
-SHARD_BYTES, SHARD_TOKENS, CACHE = 8 << 20, 32 << 20, 3_000_000
+SHARD_BYTES, SHARD_TOKENS, CACHE = 16 << 20, 32 << 20, 3_000_000
 MANIFEST_SCHEMA = "shard int, part int, path string, n_docs long, n_tokens long"
 
 
