@@ -106,7 +106,7 @@ def brute_components(rows, k, percent):
 
 
 def test_near_duplicates(spark):
-    base = documents(spark, n=30)
+    base = documents(spark, n=20)
     chain = [" ".join(f"c{j}" for j in range(i, i + 30)) for i in range(12)]  # neighbours link, ends do not
     docs = base.unionByName(spark.createDataFrame(
         [(500 - i, t, "y", 1, 0.0) for i, t in enumerate(chain)], base.schema))
@@ -124,8 +124,8 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_of_nothing(spark):
-    assert op9_minhash.near_duplicates(no_documents(spark)).count() == 0
     assert op9_minhash.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 2
+    assert op9_minhash.one_of_each(no_documents(spark)).count() == 0
 
 
 def test_components_of_long_paths(spark):

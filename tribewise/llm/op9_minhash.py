@@ -163,13 +163,11 @@ def components(edges: DataFrame) -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     now = written(_small_star(edges.filter("a != b")), "star")
-    before = name(now)
-    while True:
+    before, last = name(now), None
+    while before != last and before[0]:
         after = written(_small_star(_large_star(now)), "star")
         free(now)
         now, last, before = after, before, name(after)
-        if before == last:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
