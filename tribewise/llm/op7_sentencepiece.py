@@ -243,7 +243,8 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "sp_ids") -> Data
                                              names=[*batch.schema.names, "sp_text"])
 
     base = encoded.drop("sp_text")
-    return base.mapInArrow(run, base.schema.add("sp_text", "string"))
+    schema = encoded.drop("sp_text").schema.add("sp_text", "string")  # of a frame of its own: add() changes it in place
+    return base.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model_path: str, key: str = "doc_id", text_col: str = "text",
