@@ -131,3 +131,14 @@ def test_annotation_job_writes(spark, tmp_path):
     a = answers.collect()
     assert all(1 <= r["intruder_position"] <= 4 for r in a)
     assert spark.read.option("header", True).csv(str(tmp_path / "m_label_task")).count() == 2
+
+
+def test_word2vec_queries_run_on_the_driver_tables(spark):
+    import __spark_entry__ as entry
+    queries = entry.queries()
+    vectors = queries["embedding_vectors"](spark, entry.SMOKE_DIR).collect()
+    top = queries["top_n_communities"](spark, entry.SMOKE_DIR).collect()
+    keys = {r["key"] for r in vectors}
+    assert keys and len(vectors) == 16 * len(keys) and keys <= {str(r["community"]) for r in top}
+    grid = queries["grid_results"](spark, entry.SMOKE_DIR).collect()
+    assert sorted(r["vector_size"] for r in grid) == ["16", "8"]

@@ -86,7 +86,7 @@ def u_mass(spark, d):
 
 def _contexts(spark, d):
     kept = A.filter_top_n(roles.comments(spark, d),
-                          A.get_top_n_counts(roles.comments(spark, d), "subreddit", TOP_N), "subreddit", TOP_N)
+                          A.get_top_n_counts(roles.comments(spark, d), "subreddit", TOP_N), "subreddit")
     return A.aggregate_for_vectorization(kept, "author", "subreddit", exclude_top_perc=USER_EXCLUDE, as_array=True)
 
 
