@@ -142,3 +142,18 @@ def test_word2vec_queries_run_on_the_driver_tables(spark):
     assert keys and len(vectors) == 16 * len(keys) and keys <= {str(r["community"]) for r in top}
     grid = queries["grid_results"](spark, entry.SMOKE_DIR).collect()
     assert sorted(r["vector_size"] for r in grid) == ["16", "8"]
+
+
+def test_affinity_tiles_and_stop_rule(spark):
+    """The answer at 3 x 3 tiles is NumPy's, also when the iterations end right where sklearn's rule first holds."""
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((3, 4)) * 4
+    X = np.vstack([centers[i % 3] + rng.standard_normal(4) * 0.3 for i in range(20)])
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "key long, vector array<double>")
+    Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
+    D = -(1 - Xn @ Xn.T)
+    want = _sklearn_like_ap(D, conv=7)
+    got = CL.affinity_propagation(df, block_rows=8, convergence_iter=7).collect()
+    assert len(set(want)) > 1
+    assert _partition([(r["key"], r["cluster"]) for r in got]) == _partition(list(enumerate(want)))
+    assert {r["cluster"] for r in CL.affinity_propagation(df, convergence_iter=7, max_iter=7).collect()} == {-1}
