@@ -265,6 +265,29 @@ def test_sentencepiece_columns(spark):
     assert op7_sentencepiece.digests(no_documents(spark), PIECES).count() == 0
 
 
+def test_sentencepiece_query_and_stage_carry_spans(spark):
+    """The digests are of the spans that the library's own pieces give over the plain normaliser."""
+    import corpus_pipeline
+    docs = documents(spark, n=15)
+    e = op7_sentencepiece.Encoder(PIECES)
+    want = Counter()
+    for r in docs.collect():
+        text = r.text or ""
+        norm, source = e.normaliser(text)
+        fast, offsets = e.normaliser.aligned(text)
+        assert (fast, offsets.tolist()) == (norm, source)
+        at, flat = 0, b""
+        for p in e.sp.encode(text, return_type="proto").pieces:
+            n = 1 if e.sp.is_byte(p.id) else len(p.piece.encode())
+            assert e.sp.is_byte(p.id) or norm[at:at + n] == p.piece.encode()
+            flat += struct.pack("<qq", source[at], source[at + n])
+            at += n
+        want[r.doc_id, hashlib.sha256(flat).hexdigest()] += 1
+    got = op7_sentencepiece.digests(docs, PIECES)
+    assert Counter((r.doc_id, r.spans_sha256) for r in got.collect()) == want
+    assert "spans_sha256" in corpus_pipeline.sentencepiece(spark, docs, "").columns
+
+
 # ----------------------------------------------------------------------- quality
 
 def test_gradients_of_the_attention_model():

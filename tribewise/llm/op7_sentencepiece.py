@@ -4,7 +4,9 @@ The normaliser walks the model's compiled character map (a double-array trie
 and a table of replacements) by longest prefix, and notes for every byte of
 the normalised text which source byte it came from.  Pieces are laid over the
 normalised bytes one after the other, so the alignment projects each piece to
-a span of original UTF-8 bytes.
+a span of original UTF-8 bytes.  The pieces of a byte-pair model are merged
+here, from the normalised bytes; the library encodes every text once more, and
+a text on which both differ is an error.
 
 Cases: null text counts as empty; an empty text has the end id only; equal
 rows give equal rows; extra columns pass through ``encode`` untouched.
@@ -13,6 +15,8 @@ rows give equal rows; extra columns pass through ``encode`` untouched.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
 
 from pyspark.sql import DataFrame
@@ -64,6 +68,29 @@ def normaliser_spec(model_path: str) -> dict:
     return spec
 
 
+def byte_pair_vocabulary(model_path: str) -> tuple[dict, list[int]] | None:
+    """({piece: (id, score)}, ids of the 256 bytes), or None if the model is of another kind.
+
+    Another kind: not byte-pair, without bytes for unknown characters, or with user-defined or unused pieces.
+    """
+    with open(model_path, "rb") as f:
+        raw = f.read()
+    pieces, byte_ids, kind, n = {}, [0] * 256, 1, 0
+    for field, value in _fields(raw):
+        if field == 1:
+            piece = {1: b"", 2: bytes(4), 3: 1} | dict(_fields(value))
+            if piece[3] == 1:
+                pieces[piece[1].decode()] = (n, struct.unpack("<f", piece[2])[0])
+            elif piece[3] == 6:
+                byte_ids[int(piece[1][3:5], 16)] = n
+            elif piece[3] in (4, 5):
+                return None
+            n += 1
+        elif field == 2:
+            kind = dict(_fields(value)).get(3, 1)
+    return (pieces, byte_ids) if kind == 2 and all(byte_ids) else None
+
+
 # ---------------------------------------------------------------- normaliser
 
 class Normaliser:
@@ -142,17 +169,40 @@ class Normaliser:
         source.append(steps[-1][1] + steps[-1][2] if steps else 0)
         return bytes(out), source
 
+    def aligned(self, text: str):
+        """The same with the offsets in an array; without a map and squeezing only blanks change, all at once."""
+        import numpy as np
+        if self.units or self.squeeze or not text:
+            out, source = self(text)
+            return out, np.asarray(source, dtype=np.int64)
+        data = text.encode()
+        blanks = np.frombuffer(data, dtype=np.uint8) == 32
+        lead = self.blank if self.dummy else b""
+        source = np.repeat(np.arange(len(data), dtype=np.int64), np.where(blanks, len(self.blank), 1))
+        return lead + data.replace(b" ", self.blank), np.concatenate([np.zeros(len(lead), np.int64), source, [len(data)]])
+
 
 # ------------------------------------------------------------------- encoder
 
 class Encoder:
-    """The library's processor with the aligned normaliser beside it."""
+    """The aligned normaliser and the merges over its bytes, with the library's processor beside them."""
+
+    CACHED = 200_000
 
     def __init__(self, model_path: str):
         import sentencepiece
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.normaliser = Normaliser(**normaliser_spec(model_path))
         self.decimal = [str(i) for i in range(self.sp.get_piece_size())]
+        self.vocabulary = byte_pair_vocabulary(model_path)
+        if self.vocabulary:
+            pieces = self.vocabulary[0]
+            joined = {c for p in pieces if len(p) > 1 for c in p} - {MARK}
+            # no piece has a mark after another character, or a character outside ``joined`` beside another: cut there
+            ahead = joined and not any(MARK in p.lstrip(MARK) for p in pieces)
+            inner = "[" + re.escape("".join(sorted(joined))) + "]"
+            self.cuts = re.compile(f"{MARK}+{inner}*|{inner}+|." if ahead else ".+", re.DOTALL)
+            self.cache: dict[str, tuple[list[int], list[int]]] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.sp.encode(text, num_threads=1)
@@ -160,11 +210,61 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of each piece, begin and end in bytes of the original text."""
-        ids = self.ids(text)
-        norm, source = self.normaliser(text)
-        out, at = [], 0
+    def merged(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Ids and byte lengths: always the best-scored pair of neighbours merges, the leftmost of equals."""
+        pieces, byte_ids = self.vocabulary
+        symbols, n = list(chunk), len(chunk)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def propose(a: int, b: int) -> None:
+            if a >= 0 and b < n:
+                both = symbols[a] + symbols[b]
+                if both in pieces:
+                    heapq.heappush(heap, (-pieces[both][1], a, b, both))
+
+        for k in range(n - 1):
+            propose(k, k + 1)
+        while heap:
+            _, a, b, both = heapq.heappop(heap)
+            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != len(both):
+                continue
+            symbols[a], symbols[b] = both, ""
+            after[a] = after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            propose(before[a], a)
+            propose(a, after[a])
+        ids, sizes = [], []
+        for x in filter(None, symbols):
+            if x in pieces:
+                ids.append(pieces[x][0])
+                sizes.append(len(x.encode()))
+            else:
+                raw = x.encode()
+                ids += [byte_ids[c] for c in raw]
+                sizes += [1] * len(raw)
+        return ids, sizes
+
+    def laid(self, text: str, norm: bytes) -> tuple[list[int], list[int]]:
+        """Ids of the pieces that cover the normalised bytes one after the other, and their byte lengths."""
+        ids, sizes = [], []
+        if self.vocabulary:
+            cache = self.cache
+            for chunk in self.cuts.findall(norm.decode()):
+                hit = cache.get(chunk)
+                if hit is None:
+                    hit = self.merged(chunk)
+                    if len(chunk) <= 64:
+                        if len(cache) >= self.CACHED:
+                            cache.clear()
+                        cache[chunk] = hit
+                ids += hit[0]
+                sizes += hit[1]
+            if ids != self.ids(text):
+                raise ValueError("pieces differ from the library's")
+            return ids, sizes
+        ids, at = self.ids(text), 0
         for i in ids:
             if self.sp.is_byte(i):
                 n = 1
@@ -172,10 +272,24 @@ class Encoder:
                 n = len(norm[at:].decode("utf-8", "ignore")[:1].encode())
             else:
                 n = len(self.sp.id_to_piece(i).encode())
-            out.append((i, source[at], source[at + n]))
+            sizes.append(n)
             at += n
-        assert at == len(norm), "pieces do not cover the normalised text"
-        return out
+        return ids, sizes
+
+    def aligned(self, text: str):
+        """Ids, and (begin, end) of each piece in bytes of the original text as an array of two columns."""
+        import numpy as np
+        norm, source = self.normaliser.aligned(text)
+        ids, sizes = self.laid(text, norm)
+        ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
+        if (ends[-1] if len(ends) else 0) != len(norm):
+            raise ValueError("pieces do not cover the normalised text")
+        return ids, np.stack([source[ends - sizes], source[ends]], axis=1) if ids else np.zeros((0, 2), np.int64)
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of each piece, begin and end in bytes of the original text."""
+        ids, spans = self.aligned(text)
+        return [(i, b, z) for i, (b, z) in zip(ids, spans.tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -223,10 +337,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", spans: bool
 
     def rows(text):
         e = encoder(model_path)
-        ids = e.ids(text) + [e.sp.eos_id()]
+        found = e.spans(text)
+        ids = [i for i, _, _ in found] + [e.sp.eos_id()]
         if not spans:
             return (ids,)
-        return ids, [{"id": i, "begin": b, "end": z} for i, b, z in e.spans(text)]
+        return ids, [{"id": i, "begin": b, "end": z} for i, b, z in found]
 
     keep = [c for c in docs.columns if c not in ("sp_ids", "sp_spans")]
     return _mapped(docs, text_col, rows, out, keep)
@@ -249,13 +364,19 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "sp_ids") -> Data
 
 def digests(docs: DataFrame, model_path: str, key: str = "doc_id", text_col: str = "text",
             ids_out: bool = False) -> DataFrame:
-    """Per row: n_tokens, ids_sha256 and decoded_sha256 of a full encode-decode round trip, and sp_ids with ``ids_out``."""
+    """Per row: n_tokens, ids_sha256 and decoded_sha256 of a full encode-decode round trip, spans_sha256, and sp_ids with ``ids_out``.
+
+    spans_sha256 is of begin and end (little-endian 64-bit) of each piece in turn, the end id left out.
+    """
     def rows(text):
         e = encoder(model_path)
-        ids = e.ids(text) + [e.sp.eos_id()]
+        ids, spans = e.aligned(text)
+        ids = ids + [e.sp.eos_id()]
         named = " ".join(map(e.decimal.__getitem__, ids))
-        found = (len(ids), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest())
+        found = (len(ids), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest(),
+                 hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
         return found + (ids,) if ids_out else found
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", sp_ids array<int>" if ids_out else "")
+    schema = ("n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+              + (", sp_ids array<int>" if ids_out else ""))
     return _mapped(docs, text_col, rows, schema, [key])
