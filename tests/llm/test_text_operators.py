@@ -176,3 +176,15 @@ def test_overlaps(spark):
     nothing = spark.createDataFrame([], bench.schema)
     assert op10_decontaminate.overlaps(small, nothing).count() == 0
     assert op10_decontaminate.overlaps(no_documents(spark), bench).count() == 0
+
+
+def test_short_items_count_word_for_word_and_blocks_count_the_same_words(spark):
+    docs = spark.createDataFrame([(1, "He asked: who wrote Faust? Nobody knew."), (2, "who, wrote it: Faust"), (3, "the word alone"), (4, None)],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "alone"), (3, "who wrote faust nobody knew it"), (4, " ?! ")],
+                                  "item_id long, text string")
+    got = op10_decontaminate.overlaps(docs, bench)
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 2, 0, 3, 3), (3, 2, 2, 0, 1, 1)}
+    assert [r.doc_id for r in op10_decontaminate.without_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 4]
+    signs = spark.createDataFrame([(i, "a+b-c*d=e/" * 20) for i in range(20)], "item_id long, text string")
+    assert len(list(op10_decontaminate._blocks(signs, "item_id", "text", 400))) >= 5

@@ -11,13 +11,15 @@ words are substituted (tested by enumeration).
 Words are runs of letters, digits and underscores in lower case, so case,
 punctuation and line breaks do not matter.
 
+Items of fewer than ``min_words`` words count only word for word: a mask of all
+their words is laid over the documents, and every word must be equal.
+
 The benchmark is a query set: it goes to the tasks in blocks of at most
-``block_words`` words, each block in one pass over all documents, so the
-broadcast has a bound whatever the benchmark's size.  Hits are found and
+``block_words`` words and ``WORD_BYTES`` bytes for each, each block in one pass
+over all documents, so the broadcast has a bound whatever the benchmark's size.  Hits are found and
 verified where the document lies; nothing of the documents is shuffled.
 
-Cases: null and empty texts have no overlap; items of fewer than ``min_words``
-words take no part; equal items are each reported; repeated documents give
+Cases: null and empty texts have no overlap; items without a word take no part; equal items are each reported; repeated documents give
 repeated rows; empty tables give no rows; extra columns are ignored.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: 1 is a hashed position, 0 an ignored one.
 MASKS = ("11011", "10111", "1101001", "1001011")
-WINDOW, SIMILARITY, MIN_WORDS, BLOCK_WORDS = 20, 0.8, 8, 1_000_000
+WINDOW, SIMILARITY, MIN_WORDS, BLOCK_WORDS, WORD_BYTES = 20, 0.8, 8, 1_000_000, 16
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_overlap long, n_equal long"
 
 
@@ -46,18 +48,21 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], masks, window: int, similarity: float, min_words: int):
         import numpy as np
-        self.np, self.window, self.similarity = np, window, similarity
+        self.np, self.window, self.similarity, self.min_words = np, window, similarity, min_words
         self.vocabulary, self.items = {}, []
         for item_id, text in items:
             words = WORD.findall((text or "").lower())
-            if len(words) >= min_words:
+            if words:
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
                 self.items.append((item_id, ids))
         rng = np.random.Generator(np.random.PCG64(7))
-        self.masks = [(offsets(m), rng.integers(1, 1 << 62, m.count("1"), dtype=np.int64) * 2 + 1) for m in masks]
+        short = sorted({len(ids) for _, ids in self.items if len(ids) < min_words})
+        whole = {n: len(masks) + j for j, n in enumerate(short)}
+        self.masks = [(offsets(m), rng.integers(1, 1 << 62, m.count("1"), dtype=np.int64) * 2 + 1)
+                      for m in [*masks, *("1" * n for n in short)]]
         keys, where = [], []
         for k, (_, ids) in enumerate(self.items):
-            for m in range(len(self.masks)):
+            for m in [whole[len(ids)]] if len(ids) in whole else range(len(masks)):
                 at, hashes = self.seeds(ids, m)
                 keys.append(hashes)
                 where.append(np.column_stack((np.full(len(at), k), at)))
@@ -106,7 +111,7 @@ class Index:
             if b - a < w:
                 continue
             equal = np.concatenate(([0], np.cumsum(ids[a + d:b + d] == item[a:b])))
-            if (equal[w:] - equal[:-w]).max() >= math.ceil(self.similarity * w):
+            if (equal[w:] - equal[:-w]).max() >= (w if len(item) < self.min_words else math.ceil(self.similarity * w)):
                 row = (int(equal[-1]), item_id, a + d, a, b - a)
                 if k not in best or row > best[k]:
                     best[k] = row
@@ -114,11 +119,12 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_words: int):
-    """Broadcasts of the items, at most ``block_words`` words or so in each."""
+    """Broadcasts of the items, at most ``block_words`` words or so (and their bytes) in each."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, math.ceil(1.25 * total / block_words))
+    words = F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))  # WORD for Java
+    total = items.agg(F.sum(F.size(words)).alias("n"), F.sum(F.octet_length("t")).alias("size")).first()
+    n_blocks = max(1, math.ceil(1.25 * max(total["n"] or 0, (total["size"] or 0) / WORD_BYTES) / block_words))
     for block in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).orderBy("i", "t")
         yield spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
