@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lines, op2_sharding, op3_nndescent, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate
+from . import op1_lines, op2_sharding, op3_nndescent, op4_warc, op5_substring, op6_wavelet, op7_sentencepiece, op8_quality, op9_minhash, op10_decontaminate, op11_collocations, op12_packing, op13_resampling
 from .common import table
 
 PIECE_MODEL = os.environ.get("TRIBEWISE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = os.environ.get("TRIBEWISE_BYTE_MODEL") or public_tokenizers.path("byte_bpe_50k.json")
+WORD_MODEL = os.environ.get("TRIBEWISE_WORD_MODEL") or public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +167,85 @@ JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_i
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[:c], ' ') AS x, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS y
+  FROM f, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scores AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, c, l.f AS l, r.f AS r,
+         CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+cover AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase
+    FROM f WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN cover ON cover.lang = best.lang AND cover.phrase = best.phrase
+  WHERE cover.f IS NULL OR 100 * cover.f < 50 * a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_best_fit")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_packing.pack(table(spark, sf_dir, "documents"), WORD_MODEL, ids_out=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+RESAMPLE_SQL = """
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS word FROM texts),
+coded AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)), crc),
+features AS (SELECT kind, id, bucket FROM words JOIN coded ON coded.word = words.word),
+counts AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t FROM features GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE)) AS BIGINT) AS gain FROM counts),
+weights AS (
+  SELECT id, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM features JOIN gains ON gains.bucket = features.bucket WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weights ON id = doc_id),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked ON ranked.doc_id = scored.doc_id
+"""
+
+
+@query("op13_resampling", RESAMPLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
