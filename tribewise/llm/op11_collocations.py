@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free, text_or_empty, text_runs, written
+from .words import joined
 
 #: Mean number of tokens between two cuts, and the most tokens from one cut to the next.
 PERIOD, LONGEST = 24, 1024
@@ -40,7 +41,15 @@ PERIOD, LONGEST = 24, 1024
 SIEVE_BITS = 1 << 26
 _SLICE = 1 << 15  # bits of one result of bitmap_construct_agg
 _BREAK = "\n"
-_SPLIT = r"[ \t]*[.,;:!?\n\x0b\x0c\r][ \t.,;:!?\n\x0b\x0c\r]*"
+_BLANK, _WORD, _MARK = 0, 1, 2
+_KIND = np.full(256, _WORD, np.uint8)
+_KIND[[0x20, 0x09]] = _BLANK
+_KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _MARK
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[_KIND == _MARK] = ord(_BREAK)
+#: Tokens that a task counts at a time.
+RUN = 1 << 20
 #: Salts of the first of two ranking steps; a lang's last step sees at most so many times ``top`` rows.
 SALTS = 64
 
@@ -52,13 +61,19 @@ def _list_bounds(lists) -> tuple[pa.Array, np.ndarray]:
 
 
 def _tokens(texts) -> tuple[pa.Array, np.ndarray]:
-    """Words and break marks of normalised texts, and where each text starts."""
-    text = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=_SPLIT, replacement=f" {_BREAK} ")
-    text = pc.replace_substring(text, pattern="\t", replacement=" ")
-    values, offsets = _list_bounds(pc.split_pattern(text, " "))
-    full = pc.not_equal(pc.binary_length(values), 0)
-    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
-    return values.filter(full), before[offsets]
+    """Lower-cased words and break marks of texts, and where each text starts; a text ends with a mark."""
+    data, offsets = joined(texts)
+    kind = _KIND[data]
+    at = np.flatnonzero(kind)
+    kind = kind[at]
+    before = np.concatenate(([_MARK], kind[:-1]))
+    marks = (kind == _MARK) & (before != _MARK)
+    starts = marks | ((kind == _WORD) & ((before == _MARK) | (np.diff(at, prepend=-1) > 1)))
+    kept = marks | (kind == _WORD)
+    at, first = at[kept], np.flatnonzero(starts[kept])
+    bounds = np.concatenate((first, [len(at)])).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(_FOLD[data[at]])])
+    return tokens, np.searchsorted(at[first], offsets)
 
 
 def _codes(tokens) -> tuple[np.ndarray, pa.Array]:
@@ -133,13 +148,14 @@ def dictionary(docs: DataFrame, max_words: int = 3, text_col: str = "text", lang
             .groupBy("lang", "chunk", "last").agg(F.count(F.lit(1)).alias("uses")))
 
 
-def _hash(lang: str, phrases: list[str]) -> np.ndarray:
-    seed = zlib.crc32(lang.encode() + b"\t")
-    return np.fromiter((zlib.crc32(p.encode(), seed) for p in phrases), np.int64, len(phrases))
+def _key(lang, phrase):
+    """lang and phrase as one string; a phrase holds no tab, so the last tab divides them."""
+    return F.concat(lang, F.lit("\t"), phrase)
 
 
 def _passes(sieve: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
-    bit = _hash(lang, phrases.to_pylist()) % (len(sieve) * 8)
+    seed = zlib.crc32(lang.encode() + b"\t")
+    bit = np.fromiter((zlib.crc32(p.encode(), seed) for p in phrases.to_pylist()), np.int64, len(phrases)) % (len(sieve) * 8)
     return (sieve[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -174,37 +190,49 @@ def _phrases(codes: np.ndarray, words: pa.Array, chunk: np.ndarray, owned: np.nd
     return names.take(pa.array(seen)), counts[seen]
 
 
-def _count_batches(batches, size: int, overlap: int, sieves: list[np.ndarray], run_rows: int = 40_000) -> Iterator[pa.RecordBatch]:
+def _runs(batches, max_bytes: int) -> Iterator[pa.Table]:
+    """Arrow batches put together to about so many bytes of chunks."""
+    kept, size = [], 0
     for batch in batches:
-        langs = batch.column("lang")
-        for lang in pc.unique(langs).to_pylist():
-            mine = batch.filter(pc.equal(langs, lang))
-            for a in range(0, mine.num_rows, run_rows):
-                run = mine.slice(a, run_rows)
-                tokens, offsets = _list_bounds(pc.split_pattern(run.column("chunk"), " "))
+        kept.append(batch)
+        size += batch.nbytes
+        if size >= max_bytes:
+            yield pa.Table.from_batches(kept).combine_chunks()
+            kept, size = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _count_batches(batches, size: int, overlap: int, sieves: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches, 6 * RUN):
+        for lang in pc.unique(run.column("lang")).to_pylist():
+            for mine in run.filter(pc.equal(run.column("lang"), lang)).combine_chunks().to_batches():
+                tokens, offsets = _list_bounds(pc.split_pattern(mine.column("chunk"), " "))
                 codes, words = _codes(tokens)
                 lengths = np.diff(offsets)
                 chunk = np.repeat(np.arange(len(lengths)), lengths)
-                last = run.column("last").to_numpy(zero_copy_only=False)
+                last = mine.column("last").to_numpy(zero_copy_only=False)
                 owned = last[chunk] | (np.arange(len(codes)) < (offsets[1:] - overlap)[chunk])
-                names, counts = _phrases(codes, words, chunk, owned, run.column("uses").to_numpy(), lang, size, sieves)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), names, pa.array(counts)], ["lang", "phrase", "n"])
+                names, found = _phrases(codes, words, chunk, owned, mine.column("uses").to_numpy(), lang, size, sieves)
+                keys = pc.binary_join_element_wise(pa.scalar(lang, pa.string()), names, "\t")
+                yield pa.RecordBatch.from_arrays([keys, pa.array(found)], ["key", "n"])
 
 
-def counts(chunks: DataFrame, size: int, max_words: int, sieves: list[np.ndarray] = ()) -> DataFrame:
-    """Exact counts of the phrases of ``size`` words that the sieves let through: lang, phrase, f."""
+def counts(chunks: DataFrame, size: int, max_words: int, sieves: list[np.ndarray] = (), min_count: int = 1) -> DataFrame:
+    """Exact counts, from ``min_count`` on, of the phrases of ``size`` words that the sieves let through: lang, phrase, f."""
     overlap, sieves = max(1, max_words - 1), list(sieves)
 
     def grams(batches):
         return _count_batches(batches, size, overlap, sieves)
 
-    return (chunks.mapInArrow(grams, "lang string, phrase string, n long")
-            .groupBy("lang", "phrase").agg(F.sum("n").alias("f")))
+    phrase = F.substring_index("key", "\t", -1)
+    return (chunks.mapInArrow(grams, "key string, n long").groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+            .select(F.col("key").substr(F.lit(1), F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f"))
 
 
 def sieve(frequent: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
     """Bitmap (``bits`` / 8 bytes) of the hashes of ``frequent``'s phrases, put together by Spark in slices of 4 KB."""
-    bit = F.crc32(F.encode(F.concat("lang", F.lit("\t"), "phrase"), "utf-8")) % bits
+    bit = F.crc32(F.encode(_key(F.col("lang"), F.col("phrase")), "utf-8")) % bits
     slices = (frequent.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _SLICE).alias("at"))
               .agg(F.bitmap_construct_agg(F.col("bit") % _SLICE).alias("bitmap")))
     out = np.zeros(bits // 8, np.uint8)
@@ -228,7 +256,7 @@ def collocations(docs: DataFrame, min_words: int = 2, max_words: int = 3, min_co
     levels, sieves = [words.filter(F.col("f") >= min_count)], []
     for size in range(2, max_words + 1):
         sieves.append(sieve(levels[-1]))
-        levels.append(written(counts(chunks, size, max_words, sieves).filter(F.col("f") >= min_count), f"phrases{size}"))
+        levels.append(written(counts(chunks, size, max_words, sieves, min_count), f"phrases{size}"))
     free(chunks)
     frequent = [level.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f")) for level in levels]
 
