@@ -96,7 +96,7 @@ def test_parse_owns_every_position_once(texts, overlap, period, longest):
 # --- op12
 
 def odd_texts():
-    return ["", " ", "Hello  World<|endoftext|>x it's O'Neil'LL", "ÀÉ é é ́x", "İstanbul ΣΑΣ ΣΑΣ.", "a b c　d", "x\x1cy\x85z\x0b\x0cw",
+    return ["", " ", "Hello <|ENDOFTEXT|> <|endoftext|> World<|endoftext|>x it's O'Neil'LL", "ÀÉ é é ́x", "İstanbul ΣΑΣ ΣΑΣ.", "a b c　d", "x\x1cy\x85z\x0b\x0cw",
             "日本語 テスト 한국어 ﬁ ①", "😀👍🏽 a‍b", "1234 5.6,7", "<|startoftext|> <|endof text|>", "tab\tnew\r\nline", "\x00 \x01a"]
 
 

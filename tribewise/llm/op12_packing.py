@@ -9,9 +9,10 @@ bit of all the fullest bin, which closes first when there are too many.  A group
 in blocks of ``OPEN``, long ones first within a block: long pieces leave gaps that the
 short ones of the same block fill, and bins stay open across blocks.
 
-Tokens of a text are those of its words (cut at ASCII white space, which the vocabulary's
-pre-tokenizer drops), so each distinct word is encoded once per worker by the library and
-looked up afterwards; texts of over ``STEP`` bytes go through in steps.
+Tokens of a text are those of its words, cut at ASCII white space (which the vocabulary's
+pre-tokenizer drops) and between an ASCII letter or digit and a stop (where it always cuts), so each
+distinct word is encoded once per worker by the library and looked up afterwards; texts of over
+``STEP`` bytes go through in steps.
 
 Cases: a null or empty text is its end id alone; repeated rows are packed once each; rows with
 a null key are packed too; a text of one word is encoded whole; an empty table has no pieces; extra
@@ -30,13 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, text_runs, written
+from .words import joined
 
 #: Tokens of a sequence, open bins of a packer, pieces of a group (in the mean).
 CAPACITY, OPEN, GROUP = 2048, 4096, 16384
 STEP = 4 << 20
 #: Bytes of words and ids that a worker keeps before it starts anew.
-KEPT = 64 << 20
+KEPT = 128 << 20
 _WHITE = b" \t\n\x0b\x0c\r"
+_IS_WHITE, _IS_STOP, _IS_PLAIN = (np.isin(np.arange(256), [*some]) for some in (
+    _WHITE, b".,;:!?", b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_ENCODERS: dict = {}
+
+
+def encoder_of(model: str) -> WordEncoder:
+    """The worker's encoder; it outlives a task."""
+    if model not in _ENCODERS:
+        _ENCODERS[model] = WordEncoder(model)
+    return _ENCODERS[model]
 
 
 class WordEncoder:
@@ -47,43 +63,57 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(model)
+        normalizer = self.library.normalizer
+        #: The vocabulary is of lower case: words are kept lower-cased (but for those that may hold a special token).
+        self.fold = normalizer is not None and normalizer.normalize_str("AZ") == "az"
         self.clear()
 
     def clear(self):
         self.at, self.size = {}, 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = [], []
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, words: list[str]):
-        for a in range(0, len(words), 4096):
-            some = words[a:a + 4096]
-            for word, found in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                ids = found.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.at[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.lengths.append(len(ids))
-                self.used += len(ids)
-                self.size += 100 + len(word) + 4 * len(ids)
+        for a in range(0, len(words), 1 << 16):
+            some = words[a:a + (1 << 16)]
+            found = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            self.ids[self.used:self.used + len(ids)] = ids
+            first = len(self.starts)
+            self.at.update(zip(some, range(first, first + len(some))))
+            self.starts = np.concatenate((self.starts, self.used + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.used += len(ids)
+            self.size += 200 * len(some) + sum(map(len, some)) + 4 * len(ids)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow string array's texts in a row, and the number of each text's ids."""
         if self.size > KEPT:
             self.clear()
-        lists = pc.ascii_split_whitespace(texts)
-        offsets = lists.offsets.to_numpy()
-        values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
-        encoded = values.dictionary_encode()
+        data, offsets = joined(texts)
+        full = ~_IS_WHITE[data]
+        before = np.concatenate((data[:1] * 0 + 32, data[:-1]))
+        starts = full & (_IS_WHITE[before] | (_IS_STOP[data] & _IS_PLAIN[before]))
+        at, first = np.flatnonzero(starts), np.flatnonzero(starts[full])
+        letters = data[full]
+        bounds = np.concatenate((first, [len(letters)])).astype(np.int32)
+        if self.fold:
+            plain, letters = letters, _FOLD[letters]
+            bars = np.flatnonzero(plain == ord("|"))
+            for i in np.unique(np.searchsorted(first, bars, "right") - 1):
+                letters[bounds[i]:bounds[i + 1]] = plain[bounds[i]:bounds[i + 1]]
+        encoded = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
         words = encoded.dictionary.to_pylist()
         self._learn([w for w in words if w not in self.at])
         known = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        word = known[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
-        lengths = np.array(self.lengths, np.int64)[word]
+        word = known[encoded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.lengths[word]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        source = np.repeat(np.array(self.starts, np.int64)[word] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[source], np.diff(ends[offsets - offsets[0]])
+        source = np.repeat(self.starts[word] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.ids[source], np.diff(ends[np.searchsorted(at, offsets)])
 
 
 def _steps(text: str, step: int) -> Iterator[str]:
@@ -110,7 +140,7 @@ def _piece_rows(ids: np.ndarray, counts: np.ndarray, capacity: int):
 def _pieces(batches, model: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     serial = TaskContext.get().partitionId() << 40
-    encoder = WordEncoder(model)
+    encoder = encoder_of(model)
 
     def rows(keys, row, piece, start, length, ids):
         nonlocal serial
