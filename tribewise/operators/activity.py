@@ -110,6 +110,37 @@ def filter_out_top_users(df: DataFrame, author_col: str = S.AUTHOR,
     return df.join(keep, author_col, "leftsemi")
 
 
+def context_runs(df: DataFrame, context_col: str = S.AUTHOR, word_col: str = S.COMMUNITY,
+                 runs_col: str = "runs", context_len_col: str = S.CONTEXT_LENGTH, min_sentence_length: int = 2,
+                 exclude_top_perc: float = S.DEFAULT_USER_EXCLUDE) -> DataFrame:
+    """A3 as counted runs: (user, runs array<struct<w, k>>, length), minus the top users and short contexts.
+
+    A run is a community and the user's rows there, in community order: a user with a
+    million comments in three communities has three runs.  E1 takes the runs as they are (``explode_runs``);
+    ``context_words`` spells them out where a file wants text.
+    """
+    pairs = (df.where(F.col(context_col).isNotNull())
+             .groupBy(context_col, word_col).agg(F.count(F.lit(1)).alias("_k")))
+    per_user = pairs.groupBy(context_col).agg(
+        F.sort_array(F.collect_list(F.when(F.col(word_col).isNotNull(), F.struct(
+            F.col(word_col).cast("string").alias("w"), F.col("_k").alias("k"))))).alias(runs_col),
+        F.sum("_k").alias(context_len_col))
+    per_user = exclude_top_percentage(per_user, context_len_col, exclude_top_perc)
+    return per_user.where(F.col(context_len_col) >= min_sentence_length)
+
+
+def explode_runs(runs: DataFrame, context_col: str = S.AUTHOR, runs_col: str = "runs", word_col: str = S.COMMUNITY,
+                 n_col: str = "n") -> DataFrame:
+    """(user, community, n): one row per run."""
+    return runs.select(context_col, F.explode(runs_col).alias("_r")).select(
+        context_col, F.col("_r.w").alias(word_col), F.col("_r.k").alias(n_col))
+
+
+def context_words(runs_col: str = "runs"):
+    """The words of counted runs, each as often as its count."""
+    return F.flatten(F.transform(runs_col, lambda x: F.array_repeat(x["w"], x["k"].cast("int"))))
+
+
 def aggregate_for_vectorization(df: DataFrame, context_col: str = S.AUTHOR, word_col: str = S.COMMUNITY,
                                 word_out_col: str = S.CONTEXT_OUT, context_len_col: str = S.CONTEXT_LENGTH,
                                 min_sentence_length: int = 2,
@@ -119,20 +150,12 @@ def aggregate_for_vectorization(df: DataFrame, context_col: str = S.AUTHOR, word
     sorted, blank-joined), its length, minus the top users and short contexts.
 
     The user id is dropped unless ``keep_context_col``.  Words are sorted so
-    the result does not depend on shuffle order.
+    the result does not depend on shuffle order; null words are skipped like ``concat_ws``
+    skips nulls.  The words are spelled out in the last projection, from ``context_runs``.
     """
-    pairs = (df.where(F.col(context_col).isNotNull())
-             .groupBy(context_col, word_col).agg(F.count(F.lit(1)).alias("_k")))
-    per_user = pairs.groupBy(context_col).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(word_col).cast("string").alias("w"),
-                                             F.col("_k").alias("k")))).alias("_wk"),
-        F.sum("_k").alias(context_len_col))
-    per_user = exclude_top_percentage(per_user, context_len_col, exclude_top_perc)
-    per_user = per_user.where(F.col(context_len_col) >= min_sentence_length)
-    # null words are skipped like concat_ws skips nulls
-    words = F.flatten(F.transform(F.filter("_wk", lambda x: x["w"].isNotNull()),
-                                  lambda x: F.array_repeat(x["w"], x["k"].cast("int"))))
-    out = per_user.withColumn(word_out_col, words if as_array else F.array_join(words, " "))
+    runs = context_runs(df, context_col, word_col, "_runs", context_len_col, min_sentence_length, exclude_top_perc)
+    words = context_words("_runs")
+    out = runs.withColumn(word_out_col, words if as_array else F.array_join(words, " "))
     cols = ([context_col] if keep_context_col else []) + [word_out_col, context_len_col]
     return out.select(*cols)
 

@@ -1,11 +1,12 @@
 """Community embeddings as distributed jobs.
 
-* Co-occurrence (E1) is a blocked Gram product: (user, community) counts are
-  pre-aggregated, users are hashed into blocks, and each block's dense
-  user x community matrix X gives X^T X with NumPy inside the task.  Pairs
-  are summed over all users of the block before they leave the task, so no
-  per-user pair list is ever materialized and a hot user costs one matrix row.
-* Training: ``pyspark.ml.feature.Word2Vec`` over the contexts, or shifted
+* Co-occurrence (E1) is a tiled Gram product: (user, community) counts are
+  pre-aggregated, users are hashed into blocks and communities into tiles, and X^T Y of
+  two tiles of a block is one NumPy product inside a task.  Pairs are summed over all
+  users of the block before they leave the task, so no per-user pair list is ever
+  materialized and a hot user costs one matrix row per tile.
+* Training: skip-gram with negative sampling over co-occurrence cells (``operators.sgns``),
+  ``pyspark.ml.feature.Word2Vec`` over the contexts (one task), or shifted
   PPMI factorized by the distributed SVD of ``IndexedRowMatrix``.
 * Neighbours, all-pairs distances and analogy scoring use the blocked
   cogroup products of ``tribewise.operators.blocked``.
@@ -24,44 +25,54 @@ from pyspark.sql import functions as F
 
 from tribewise.functions import vectors as V
 from tribewise.operators import blocked as B
+from tribewise.session import cut_lineage, drop_state
 
 
 # --- E1: co-occurrence -------------------------------------------------------
 def cooccurrence(df: DataFrame, user_col: str, item_col: str, budget: int = 4_000_000,
-                 tile: int = 512) -> DataFrame:
+                 tile: int = 1024, n_col: str | None = None) -> DataFrame:
     """(a, b, w) with w = sum over users of n_a * n_b (a != b) and
     n_a * (n_a - 1) (a == b): every pair of a user's rows co-occurs.
 
-    ``budget`` bounds the doubles in one block matrix (users x items); the
-    Gram product is emitted in column tiles of ``tile`` items.
+    With ``n_col`` the rows are already counted runs (user, item, n), as
+    ``activity.context_runs`` gives them.  Items are hashed into tiles of about ``tile``, users into blocks
+    so that a block's users x tile matrix has about ``budget`` doubles.  A task of the product holds the two
+    matrices of one (block, tile, tile) and returns one bounded tile of the sum.
     """
-    uc = df.groupBy(user_col, item_col).agg(F.count(F.lit(1)).alias("_n"))
-    stats = uc.agg(F.count_distinct(user_col).alias("u"), F.count_distinct(item_col).alias("m")).first()
-    n_users, n_items = int(stats["u"] or 0), int(stats["m"] or 0)
-    users_per_block = max(1, budget // max(1, n_items))
-    nb = max(1, math.ceil(n_users / users_per_block))
+    uc = df.groupBy(user_col, item_col).agg((F.sum(n_col) if n_col else F.count(F.lit(1))).alias("_n"))
+    stats = uc.agg(F.approx_count_distinct(user_col).alias("u"), F.approx_count_distinct(item_col).alias("m")).first()
+    tiles = max(1, math.ceil((stats["m"] or 0) / tile))
+    nb = max(1, math.ceil((stats["u"] or 0) * min(tile, stats["m"] or 1) / budget))
     it = uc.schema[item_col].dataType.simpleString()
-    blocked = uc.withColumn("_b", F.pmod(F.xxhash64(F.col(user_col)), F.lit(nb)))
+    # a row of tile t takes part in the products (t, t..) and (..t, t)
+    own = F.pmod(F.xxhash64(F.col(item_col)), F.lit(tiles)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<int>"))
+    placed = (uc.select(F.col(user_col).alias("u"), F.col(item_col).alias("i"), F.col("_n").cast("double").alias("n"), own.alias("own"),
+                        F.pmod(F.xxhash64(F.col(user_col)), F.lit(nb)).alias("block")).withColumn("other", other)
+              .select("block", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", "u", "i", "n"))
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        ucode, _ = pd.factorize(pdf[user_col])
-        icode, items = pd.factorize(pdf[item_col])
-        X = np.zeros((ucode.max() + 1, len(items)))
-        n = pdf["_n"].to_numpy(dtype=np.float64)
-        X[ucode, icode] = n
-        diag_fix = np.bincount(icode, weights=n, minlength=len(items))
-        items = np.asarray(items)
-        out = []
-        for s in range(0, len(items), tile):
-            G = X.T @ X[:, s:s + tile]
-            cols = np.arange(s, min(s + tile, len(items)))
-            G[cols, np.arange(len(cols))] -= diag_fix[cols]
-            ii, jj = np.nonzero(G)
-            out.append(pd.DataFrame({"a": items[ii], "b": items[cols[jj]],
-                                     "w": np.rint(G[ii, jj]).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "w": []})
-
-    parts = blocked.groupBy("_b").applyInPandas(gram, schema=f"a {it}, b {it}, w bigint")
+        ta, tb = pdf["ta"].iloc[0], pdf["tb"].iloc[0]
+        user, users = pd.factorize(pdf["u"])
+        n = pdf["n"].to_numpy()
+
+        def side(t):
+            rows = (pdf["own"] == t).to_numpy()
+            code, items = pd.factorize(pdf["i"][rows])
+            X = np.zeros((len(users), len(items)))
+            X[user[rows], code] = n[rows]
+            return X, np.asarray(items)
+        X, left = side(ta)
+        Y, right = (X, left) if ta == tb else side(tb)
+        G = X.T @ Y
+        if ta == tb:
+            G[np.diag_indices(len(left))] -= X.sum(axis=0)
+        i, j = np.nonzero(G)
+        w = np.rint(G[i, j]).astype(np.int64)
+        out = pd.DataFrame({"a": left[i], "b": right[j], "w": w})
+        return out if ta == tb else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])[["a", "b", "w"]]
+
+    parts = placed.groupBy("block", "ta", "tb").applyInPandas(gram, schema=f"a {it}, b {it}, w bigint")
     return parts.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") != 0)
 
 
@@ -257,36 +268,67 @@ def expand_grid(grid: dict) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
+def context_pairs(contexts: DataFrame, tokens_col: str, **kw) -> DataFrame:
+    """E1 over contexts given as token arrays: every context is a user."""
+    rows = cut_lineage(contexts.select(F.monotonically_increasing_id().alias("u"), F.col(tokens_col).alias("t")))
+    return cooccurrence(rows.select("u", F.explode("t").alias("i")), "u", "i", **kw)
+
+
+#: What a result row says about a model besides the grid's own parameters (fixed values: the trainer's defaults).
+TRAINER_DEFAULTS = {"epochs": 5, "vector_size": 150, "negative": 20, "ns_exponent": 0.75, "alpha": 0.025, "min_alpha": 0.0001,
+                    "seed": 1, "batch_words": 10000, "sample": 0.0}
+RESULT_COLUMNS = ("model_id string, contexts_path string, accuracy double, detailed_accuracy string, num_users bigint, "
+                  "max_comments bigint, epochs int, vector_size int, skip_gram int, hierarchical_softmax int, negative int, "
+                  "ns_exponent double, alpha double, min_alpha double, seed bigint, batch_words int, sample double")
+
+
 def grid_search(contexts: DataFrame, tokens_col: str, analogies: DataFrame, grid: dict,
-                fixed: dict | None = None, keep_all: bool = False, case_insensitive: bool = False):
-    """Train one Word2Vec per grid point (each fit distributed), score
-    analogies, keep the best (ties go to the later model).  Returns
-    (results DataFrame, best vectors DataFrame, best model id)."""
+                fixed: dict | None = None, keep_all: bool = False, case_insensitive: bool = False,
+                trainer: str = "word2vec", contexts_path: str = ""):
+    """Train one model per grid point, score analogies, keep the best
+    (ties go to the later model).
+
+    ``trainer`` is ``"sgns"`` (negative sampling in many tasks, over one co-occurrence table for the
+    whole grid) or ``"word2vec"`` (Spark ML, hierarchical softmax, one task per fit).  Returns (results, best vectors,
+    best model id); a result row holds the 17 ``RESULT_COLUMNS``.  With ``keep_all`` the vectors of every model come
+    as a fourth value, by model id.
+    """
+    from tribewise.operators import sgns
+    if trainer not in ("sgns", "word2vec"):
+        raise ValueError(f"unknown trainer {trainer!r}")
     spark = contexts.sparkSession
-    contexts = contexts.persist()
+    contexts = cut_lineage(contexts.select(tokens_col))
+    head = contexts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(tokens_col)).alias("m")).first()
+    pairs = cut_lineage(context_pairs(contexts, tokens_col)) if trainer == "sgns" else None
+    counts = contexts.select(F.explode(tokens_col).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     rows, best, best_vecs, kept = [], None, None, {}
-    for pos, params in enumerate(expand_grid(grid)):
-        kw = dict(fixed or {})
-        kw.update(params)
-        vecs, _ = word2vec_embeddings(contexts, tokens_col, **kw)
-        vecs = vecs.persist()
-        scored = score_analogies(analogies, vecs, case_insensitive=case_insensitive)
-        per = analogy_accuracy(scored)
-        rep = detailed_accuracy_string(per).first()
-        acc = float(rep["accuracy"]) if rep and rep["accuracy"] is not None else 0.0
+    for params in expand_grid(grid):
+        kw = {**(fixed or {}), **params}
+        if trainer == "sgns":
+            names = ("vector_size", "negative", "sample", "alpha", "min_alpha", "epochs", "seed", "ns_exponent", "passes", "batch", "block_items")
+            vecs = sgns.train(pairs, counts=counts, **{k: v for k, v in kw.items() if k in names})
+        else:
+            names = ("vector_size", "window", "epochs", "alpha", "seed", "min_count")
+            vecs, _ = word2vec_embeddings(contexts, tokens_col, **{k: v for k, v in kw.items() if k in names})
+        vecs = cut_lineage(vecs)
+        rep = detailed_accuracy_string(analogy_accuracy(score_analogies(analogies, vecs, case_insensitive=case_insensitive))).first()
+        acc = float(rep["accuracy"]) if rep["accuracy"] is not None else 0.0
         mid = model_id(params)
-        rows.append((pos, mid, acc, rep["detailed_accuracy"] if rep else "", *[str(params[k]) for k in grid]))
+        said = {**TRAINER_DEFAULTS, **kw}
+        own = trainer == "sgns"
+        rows.append((mid, contexts_path, acc, rep["detailed_accuracy"] or "", head["n"], head["m"] or 0, said["epochs"], said["vector_size"], 1,
+                     int(not own), int(said["negative"]) if own else 0, float(said["ns_exponent"]), float(said["alpha"]),
+                     float(said["min_alpha"]), said["seed"], said["batch_words"], float(said["sample"]) if own else 0.0))
         if best is None or acc >= best[1]:
-            if best_vecs is not None and not keep_all:
-                best_vecs.unpersist()
+            if not keep_all:
+                drop_state(best_vecs)
             best, best_vecs = (mid, acc), vecs
         elif not keep_all:
-            vecs.unpersist()
+            drop_state(vecs)
         if keep_all:
             kept[mid] = vecs
-    schema = "pos int, model_id string, accuracy double, detailed_accuracy string, " + ", ".join(
-        f"{k} string" for k in grid)
-    return spark.createDataFrame(rows, schema), best_vecs, best[0] if best else None
+    out = spark.createDataFrame(rows, RESULT_COLUMNS), best_vecs, best[0] if best else None
+    return (*out, kept) if keep_all else out
 
 
 _SECTION_RE = re.compile(r"^(.*):(\d+)/(\d+)$")

@@ -55,16 +55,26 @@ def regex_filter_drop(spark, d):
     return FL.filter_by_regex(docs, "source", "^src1.*", match_complement=True)
 
 
-@query("sentinel_filters", f"""
-WITH {_C}
-SELECT id, author, body FROM c
-WHERE author <> '[deleted]' AND body NOT IN ('[removed]', '[deleted]') AND body <> 'R'""")
+_SENTINELS_SQL = f"""
+WITH {_C},
+m AS (SELECT id, CASE WHEN score >= 49 THEN '[deleted]' WHEN score = 1 THEN NULL ELSE author END AS author,
+             CASE WHEN body = 'R' THEN '[removed]' WHEN body = 'A' AND score = 2 THEN '[deleted]' WHEN score = 3 THEN NULL ELSE body END AS body
+      FROM c)"""
+
+
+def _with_sentinels(spark, d):
+    """All comments; returned ones count as removed text, the largest and smallest orders as deleted authors and nulls."""
+    return roles.comments(spark, d).select(
+        "id", F.when(F.col("score") >= 49, "[deleted]").when(F.col("score") == 1, None).otherwise(F.col("author")).alias("author"),
+        F.when(F.col("body") == "R", "[removed]").when((F.col("body") == "A") & (F.col("score") == 2), "[deleted]")
+        .when(F.col("score") == 3, None).otherwise(F.col("body")).alias("body"))
+
+
+@query("sentinel_filters", _SENTINELS_SQL + """
+SELECT id, author, body FROM m WHERE author <> '[deleted]' AND body NOT IN ('[removed]', '[deleted]')""")
 def sentinel_filters(spark, d):
-    c = roles.comments(spark, d)
-    out = FL.remove_deleted_text(FL.remove_deleted_authors(c), "comments")
-    # the driver data has no sentinel rows; 'R' (returned) plays a removed body
-    out = out.where(F.col("body") != "R")
-    return out.select("id", "author", "body")
+    """F2 + F3 on rows that hold every sentinel and nulls; the two operators alone drop them."""
+    return FL.remove_deleted_text(FL.remove_deleted_authors(_with_sentinels(spark, d))).select("id", "author", "body")
 
 
 @query("coverage_stats", f"""
@@ -124,6 +134,19 @@ def user_contexts(spark, d):
     return user_contexts_df(spark, d)
 
 
+@query("context_runs", _CONTEXTS_SQL + """,
+runs AS (SELECT author, subreddit, count(*) AS n FROM f GROUP BY author, subreddit)
+SELECT runs.author, subreddit, n, context_length FROM runs JOIN r ON r.author = runs.author
+WHERE pr <= """ + str(1.0 - USER_EXCLUDE) + """ AND context_length >= 2""")
+def context_runs(spark, d):
+    """A3 as counted runs, one row per (user, community)."""
+    c = roles.comments(spark, d)
+    kept = FL.remove_deleted_authors(A.filter_top_n(c, A.get_top_n_counts(c, "subreddit", TOP_N), "subreddit"))
+    runs = A.context_runs(kept, exclude_top_perc=USER_EXCLUDE)
+    return runs.select("author", "context_length", F.explode("runs").alias("r")).select(
+        "author", F.col("r.w").alias("subreddit"), F.col("r.k").alias("n"), "context_length")
+
+
 @query("context_stats", _CONTEXTS_SQL + """
 SELECT count(*) AS num_contexts, max(context_length) AS max_context_length,
        max(len(string_split(subreddit_concat, ' '))) AS max_context_tokens FROM ctx""")

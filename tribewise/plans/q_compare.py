@@ -9,7 +9,6 @@ components (``signs``) -- three data-derived partitions of the same keys.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -255,20 +254,10 @@ WITH v AS (SELECT model_a || '/' || model_b AS pair, vi FROM (""" + _EMB_LABELS_
        + ",\nvv AS (" + _vi_pairs_sql() + """)
 SELECT CASE model_a WHEN 'lab' THEN 'label' WHEN 'arg' THEN 'argmax' ELSE 'signs' END AS model_a,
        CASE model_b WHEN 'lab' THEN 'label' WHEN 'arg' THEN 'argmax' ELSE 'signs' END AS model_b, vi FROM vv))
-SELECT arg_min(pair, struct_pack(v := vi, p := pair)) AS min_id, round(min(vi), 6) + 0.0 AS min_value,
-       arg_min(pair, struct_pack(v := -vi, p := pair)) AS max_id, round(max(vi), 6) + 0.0 AS max_value FROM v""")
+SELECT arg_min(pair, struct_pack(v := round(vi, 6), p := pair)) AS min_id, round(min(vi), 6) + 0.0 AS min_value,
+       arg_min(pair, struct_pack(v := -round(vi, 6), p := pair)) AS max_id, round(max(vi), 6) + 0.0 AS max_value FROM v""")
 def experiment_pick(spark, d):
-    """The labeling pairs with the smallest and largest VI."""
+    """The labeling pairs with the smallest and largest VI, to 6 digits; ties go to the smaller id."""
     from tribewise.operators.tables import min_max_pick
-    # the SQL sums each order of a pair by itself, and the pick hangs on the last bits of its sums
-    labs = embedding_labelings(spark, d)
-    parts = []
-    for x, y in permutations(labs, 2):
-        r = C.remap_clusters(labs[x], labs[y])
-        p1, p2 = C.cluster_probabilities(r, "c1"), C.cluster_probabilities(r, "c2")
-        h1, h2 = (p.select(-F.sum(F.col("p") * F.log2("p"))).scalar() for p in (p1, p2))
-        mi = C.mutual_information(C.contingency_table(r), p1, p2)
-        parts.append(mi.select(F.lit(f"{x}/{y}").alias("pair"), (h1 + h2 - 2 * F.col("mi")).alias("vi")))
-    v = reduce(lambda a, b: a.unionByName(b), parts)
-    out = min_max_pick(v, "pair", "vi")
-    return out.select("min_id", r6("min_value").alias("min_value"), "max_id", r6("max_value").alias("max_value"))
+    v = _vi_long(spark, d).select(F.concat_ws("/", "model_a", "model_b").alias("pair"), r6("vi").alias("vi"))
+    return min_max_pick(v, "pair", "vi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tribewise.operators import activity as A
 from tribewise.operators import clusters as CL
 from tribewise.operators import embeddings as E
+from tribewise.operators import sgns as SG
 from tribewise.operators import text as T
 from tribewise.operators import topics as TP
 from tribewise.plans import roles
@@ -99,6 +100,18 @@ def embedding_vectors(spark, d):
     return vecs.select("key", F.posexplode("vector").alias("dim", "value")).withColumn("value", r6("value"))
 
 
+@query("sgns_vectors")
+def sgns_vectors(spark, d):
+    """Skip-gram with negative sampling and down-sampling, in many tasks, over the co-occurrence of the user runs."""
+    c = roles.comments(spark, d)
+    kept = A.filter_top_n(c, A.get_top_n_counts(c, "subreddit", TOP_N), "subreddit")
+    runs = A.explode_runs(A.context_runs(kept, exclude_top_perc=USER_EXCLUDE))
+    counts = runs.groupBy(F.col("subreddit").alias("item")).agg(F.sum("n").alias("n"))
+    pairs = E.cooccurrence(runs, "author", "subreddit", n_col="n")
+    vecs = SG.train(pairs, vector_size=16, negative=5, sample=1e-3, alpha=0.2, epochs=4, seed=SEED, counts=counts, block_items=256)
+    return vecs.select("key", F.posexplode("vector").alias("dim", "value")).withColumn("value", r6("value"))
+
+
 @query("ppmi_svd_vectors")
 def ppmi_svd_vectors(spark, d):
     """E2(a): truncated SVD of the shifted PPMI of brand co-occurrence."""
@@ -124,10 +137,8 @@ def part_analogies(spark, d):
 
 @query("grid_results")
 def grid_results(spark, d):
-    """Word2Vec grid scored by analogy accuracy (later model wins ties)."""
-    ctx = _contexts(spark, d)
-    window = int(A.collect_max_context_length(ctx).first()[0] or 5)
-    res, _, _ = E.grid_search(ctx, "subreddit_concat", part_analogies(spark, d),
-                              {"vector_size": [8, 16], "alpha": [0.025]},
-                              fixed={"window": window, "epochs": 5, "seed": SEED})
+    """A grid of negative-sampling models scored by analogy accuracy (later model wins ties), 17 columns."""
+    res, _, _ = E.grid_search(_contexts(spark, d), "subreddit_concat", part_analogies(spark, d),
+                              {"vector_size": [8, 16], "alpha": [0.2]}, fixed={"epochs": 2, "negative": 5, "seed": SEED},
+                              trainer="sgns", contexts_path="lineitem")
     return res.withColumn("accuracy", r6("accuracy"))
