@@ -107,3 +107,58 @@ def u_mass(terms: DataFrame, presence: DataFrame, id_col: str = "doc_id", term_c
     per_topic = scored.groupBy("topic").agg(F.avg("m").alias("coherence"))
     mean = per_topic.select(F.avg("coherence")).scalar()
     return per_topic.withColumn("model_coherence", mean)
+
+
+def u_mass_of_documents(terms: DataFrame, docs: DataFrame, tokens_col: str, term_col: str = "term", step: int = 2048) -> DataFrame:
+    """M6 straight from token rows: (topic, coherence, model_coherence), equal to ``u_mass`` on their presence table.
+
+    The tasks hold the top terms (topics x terms rows, a bound of the model) and read ``step`` documents at a time: each term gets a
+    bitmap of the documents that hold it, and a pair's documents are the bits of the AND.  A task returns one row per pair; no
+    (document, term) row is shuffled.  N counts documents with a token.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    listed = terms.select("topic", "rank", term_col).orderBy("topic", "rank").collect()
+    names = sorted({r[term_col] for r in listed})
+    at = {t: i for i, t in enumerate(names)}
+    by_topic: dict = {}
+    for r in listed:
+        by_topic.setdefault(r["topic"], []).append(at[r[term_col]])
+    pairs = sorted({(a, b) for ids in by_topic.values() for i, a in enumerate(ids) for b in ids[:i]})
+    left, right = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+
+    def count(batches):
+        single, both, n = np.zeros(len(names), np.int64), np.zeros(len(pairs), np.int64), 0
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                lists = batch.column("tokens").slice(s, step)
+                found = pc.index_in(pc.list_flatten(lists), value_set=known)
+                row = pc.list_parent_indices(lists)
+                held = np.zeros((len(names), -(-len(lists) // 64) * 64), bool)
+                mask = found.is_valid()
+                held[found.filter(mask).to_numpy(zero_copy_only=False), row.filter(mask).to_numpy(zero_copy_only=False)] = True
+                bits = np.packbits(held, axis=1).view(np.uint64)
+                single += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+                for a in range(0, len(pairs), 4096):
+                    both[a:a + 4096] += np.bitwise_count(bits[left[a:a + 4096]] & bits[right[a:a + 4096]]).sum(axis=1, dtype=np.int64)
+                n += int(pc.sum(pc.greater(pc.fill_null(pc.list_value_length(lists), 0), 0).cast(pa.int64())).as_py() or 0)
+        ids = np.concatenate((np.arange(len(pairs)), [-1], -2 - np.arange(len(names))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate((both, [n], single)))], ["id", "n"])
+
+    found = {r["id"]: r["n"] for r in docs.select(F.col(tokens_col).alias("tokens")).mapInArrow(count, "id long, n long")
+             .groupBy("id").agg(F.sum("n").alias("n")).collect()}  # one row per term and pair
+    n_docs, number = found.get(-1, 0), {p: i for i, p in enumerate(pairs)}
+    rows = []
+    for topic, ids in by_topic.items():
+        values = []
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                d = found.get(-2 - b, 0)
+                values.append(math.log((found[number[a, b]] / n_docs + EPSILON) / (d / n_docs)) if d else 0.0)
+        if values:
+            rows.append((topic, sum(values) / len(values)))
+    mean = sum(v for _, v in rows) / len(rows) if rows else None
+    kind = terms.schema["topic"].dataType.simpleString()
+    return terms.sparkSession.createDataFrame([(t, v, mean) for t, v in rows], f"topic {kind}, coherence double, model_coherence double")

@@ -18,12 +18,17 @@ from tribewise.plans.registry import query, r6, table
 SPLIT_DATE = "1998-06-01"
 
 
-def part_labelings(spark, d, restrict=True):
+def part_labelings(spark, d):
     p = table(spark, d, "part")
-    m1 = p.where(F.col("p_size") <= 30) if restrict else p
-    m2 = p.where(F.col("p_size") >= 20) if restrict else p
-    return (m1.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("cluster")),
-            m2.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("cluster")))
+    return (p.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("cluster")),
+            p.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("cluster")))
+
+
+def document_labelings(spark, d):
+    """All documents by source, and those that have labels by their labels: key sets that differ by themselves."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return (docs.select(F.col("doc_id").alias("key"), F.col("source").alias("cluster")),
+            labels.select(F.col("doc_id").alias("key"), F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("cluster")))
 
 
 def part_counts(spark, d):
@@ -35,7 +40,7 @@ def part_counts(spark, d):
 
 
 def weighted_remap(spark, d):
-    m1, m2 = part_labelings(spark, d, restrict=False)
+    m1, m2 = part_labelings(spark, d)
     c1, c2 = part_counts(spark, d)
     return C.attach_counts(C.remap_clusters(m1, m2), c1, c2)
 
@@ -135,24 +140,23 @@ allm AS (
 SELECT '{style}' AS comparison, metric, round(value, 6) + 0.0 AS value FROM allm"""
 
 
-_M1 = "SELECT p_partkey AS key, p_brand AS cluster FROM part WHERE p_size <= 30"
-_M2 = "SELECT p_partkey AS key, p_type AS cluster FROM part WHERE p_size >= 20"
+_M1 = "SELECT doc_id AS key, source AS cluster FROM documents"
+_M2 = "SELECT doc_id AS key, quality || '/' || toxic AS cluster FROM labels"
 
 
 @query("compare_union", _pair_metrics_sql(
     f"SELECT coalesce(a.cluster, '-1') AS c1, coalesce(b.cluster, '-1') AS c2 FROM ({_M1}) a FULL JOIN ({_M2}) b ON a.key = b.key",
     C.UNION_UNIFORM))
 def compare_union(spark, d):
-    m1, m2 = part_labelings(spark, d)
-    out = C.compare_clusterings(m1.withColumn("cluster", F.col("cluster")), m2, use_union=True)
-    return out.withColumn("value", r6("value"))
+    m1, m2 = document_labelings(spark, d)
+    return C.compare_clusterings(m1, m2, use_union=True).withColumn("value", r6("value"))
 
 
 @query("compare_intersection", _pair_metrics_sql(
     f"SELECT a.cluster AS c1, b.cluster AS c2 FROM ({_M1}) a JOIN ({_M2}) b ON a.key = b.key",
     C.INTERSECT_UNIFORM))
 def compare_intersection(spark, d):
-    m1, m2 = part_labelings(spark, d)
+    m1, m2 = document_labelings(spark, d)
     return C.compare_clusterings(m1, m2, use_union=False).withColumn("value", r6("value"))
 
 
@@ -160,7 +164,7 @@ def compare_intersection(spark, d):
 SELECT '{C.INTERSECT_COMMENT_PROB}' AS comparison, 'variation_of_information' AS metric,
        round(h1 + h2 - 2 * mi, 6) + 0.0 AS value FROM h, mi""")
 def compare_weighted(spark, d):
-    m1, m2 = part_labelings(spark, d, restrict=False)
+    m1, m2 = part_labelings(spark, d)
     c1, c2 = part_counts(spark, d)
     return C.compare_clusterings(m1, m2, counts1=c1, counts2=c2).withColumn("value", r6("value"))
 
@@ -233,14 +237,44 @@ def vi_pivot(spark, d):
     return p.select("model_a", *[r6(c).alias(c) for c in ("argmax", "label", "signs")])
 
 
-@query("max_matching")
-def max_matching(spark, d):
-    """Greedy maximum-match pairing of the label and argmax partitions (rows-only)."""
-    labs = embedding_labelings(spark, d)
-    return C.pair_clusters_across(labs["label"], labs["argmax"])
+def _match_sql(a: str, b: str, name: str) -> str:
+    """Greedy matching of two labelings, one cell after the other: CTE ``name`` (c1, c2), -1 for no partner."""
+    return f""",
+{name}_cells AS (SELECT *, row_number() OVER (ORDER BY n DESC, c1, c2) AS pos FROM (
+  SELECT x.cluster AS c1, y.cluster AS c2, count(*) AS n FROM {a} x JOIN {b} y ON x.key = y.key GROUP BY ALL)),
+{name}_walk AS (
+  SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS vs
+  UNION ALL
+  SELECT c.pos, CASE WHEN free THEN list_append(us, c1) ELSE us END, CASE WHEN free THEN list_append(vs, c2) ELSE vs END
+  FROM (SELECT w.us, w.vs, c.*, NOT list_contains(w.us, c.c1) AND NOT list_contains(w.vs, c.c2) AS free
+        FROM {name}_walk w JOIN {name}_cells c ON c.pos = w.pos + 1) c),
+{name}_pairs AS (SELECT unnest(us) AS c1, unnest(vs) AS c2 FROM {name}_walk WHERE pos = (SELECT max(pos) FROM {name}_walk)),
+{name} AS (
+  SELECT c1, c2 FROM {name}_pairs
+  UNION ALL SELECT DISTINCT cluster, CAST(-1 AS BIGINT) FROM {a} WHERE cluster NOT IN (SELECT c1 FROM {name}_pairs)
+  UNION ALL SELECT DISTINCT CAST(-1 AS BIGINT), cluster FROM {b} WHERE cluster NOT IN (SELECT c2 FROM {name}_pairs))"""
+
 
+_RECURSIVE_LABELS_SQL = _EMB_LABELS_SQL.replace("WITH lab", "WITH RECURSIVE lab", 1)
 
-@query("alignment_chains")
+
+@query("max_matching", _RECURSIVE_LABELS_SQL + _match_sql("lab", "arg", "m") + "\nSELECT c1, c2 FROM m")
+def max_matching(spark, d):
+    """Greedy maximum-match pairing of the label and argmax partitions."""
+    labs = embedding_labelings(spark, d)
+    return C.pair_clusters_across(labs["label"], labs["argmax"]).select("c1", "c2")
+
+
+@query("alignment_chains", _RECURSIVE_LABELS_SQL + _match_sql("lab", "arg", "p") + _match_sql("arg", "sig", "q") + """,
+chains AS (
+  SELECT coalesce(x.c1, -1) AS step_0, coalesce(x.c2, y.c1) AS step_1, coalesce(y.c2, -1) AS step_2
+  FROM (SELECT * FROM p WHERE c2 <> -1) x FULL JOIN (SELECT * FROM q WHERE c1 <> -1) y ON x.c2 = y.c1
+  UNION ALL SELECT c1, -1, -1 FROM p WHERE c2 = -1
+  UNION ALL SELECT -1, -1, c2 FROM q WHERE c1 = -1),
+names AS (SELECT cluster, string_agg(CAST(key AS VARCHAR), ' ' ORDER BY CAST(key AS VARCHAR)) AS members FROM lab GROUP BY cluster)
+SELECT step_0, step_1, step_2, CAST((step_0 <> -1) AS INTEGER) + CAST((step_1 <> -1) AS INTEGER) + CAST((step_2 <> -1) AS INTEGER) AS chain_length,
+       members
+FROM chains LEFT JOIN names ON step_0 = cluster""")
 def alignment_chains(spark, d):
     """Chains label -> argmax -> signs with member strings of the first step."""
     labs = embedding_labelings(spark, d)

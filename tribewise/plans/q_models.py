@@ -6,6 +6,7 @@ these queries have no oracle SQL; tests compare partitions and invariants.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tribewise.operators import activity as A
@@ -17,7 +18,7 @@ from tribewise.operators import topics as TP
 from tribewise.plans import roles
 from tribewise.plans.q_activity import TOP_N, USER_EXCLUDE
 from tribewise.plans.q_embed import cooc_df, emb
-from tribewise.plans.q_text import docs_filtered, vocab_df
+from tribewise.plans.q_text import _CLASS_SQL, docs_filtered, vocab_df
 from tribewise.plans.registry import query, r6, table
 
 N_CLUSTERS = 10
@@ -41,12 +42,41 @@ def agglomerative_assignments(spark, d):
     return out
 
 
-@query("dbscan_assignments")
+@query("dbscan_assignments", """
+WITH RECURSIVE pts AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+unit AS (SELECT key, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM pts),
+near AS (SELECT a.key AS a, b.key AS b, 1.0 - list_dot_product(a.v, b.v) AS d FROM unit a JOIN unit b ON a.key <> b.key
+         WHERE 1.0 - list_dot_product(a.v, b.v) <= 0.5),
+core AS (SELECT a AS key FROM near GROUP BY a HAVING count(*) + 1 >= 5),
+links AS (SELECT a, b FROM near WHERE a IN (SELECT key FROM core) AND b IN (SELECT key FROM core)),
+reach AS (SELECT key AS a, key AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a AS key, min(b) AS comp FROM reach GROUP BY a),
+border AS (SELECT a AS key, arg_min(comp, struct_pack(d := d, c := comp)) AS comp FROM near JOIN comp ON comp.key = b
+           WHERE a NOT IN (SELECT key FROM core) GROUP BY a),
+labelled AS (SELECT key, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM (SELECT * FROM comp UNION ALL SELECT * FROM border))
+SELECT pts.key, coalesce(cluster, -1) AS cluster FROM pts LEFT JOIN labelled ON labelled.key = pts.key""")
 def dbscan_assignments(spark, d):
+    """Clusters numbered by their smallest core key."""
     out, _ = CL.fit_clusters(_vectors(spark, d), "dbscan")
     return out
 
 
+@query("affinity_sparse")
+def affinity_sparse(spark, d):
+    """C4 over the graph of the 32 nearest vectors."""
+    out, _ = CL.fit_clusters(_vectors(spark, d), "affinity", neighbors=32, damping=0.8)
+    return out
+
+
+@query("cluster_sweep")
+def cluster_sweep(spark, d):
+    """One hierarchy per linkage, cut at several numbers of clusters, with M1-M3 and A17."""
+    from tribewise.plans.jobs import cluster_count_sweep
+    out = cluster_count_sweep(_vectors(spark, d), (5, 10, 25), ("kmeans", "agglomerative:single"), month="all")
+    return out.select("month", "kind", "k", *[r6(c).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")],
+                      "num_clusters", "min_size", "max_size")
+
+
 @query("affinity_assignments")
 def affinity_assignments(spark, d):
     """C4 with the reference's input: cosine distances used as affinities
@@ -85,6 +115,26 @@ def u_mass(spark, d):
                                              r6("model_coherence").alias("model_coherence"))
 
 
+@query("u_mass_classes", _CLASS_SQL + """,
+ranked AS (SELECT source AS topic, term, row_number() OVER (PARTITION BY source ORDER BY ct.tf DESC, term) AS rank FROM ct QUALIFY rank <= 20),
+held AS (SELECT DISTINCT doc_id, term FROM tf WHERE term IN (SELECT term FROM ranked)),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+df AS (SELECT term, count(*) AS d FROM held GROUP BY term),
+prs AS (SELECT a.topic, a.term AS x, b.term AS y FROM ranked a JOIN ranked b ON a.topic = b.topic AND b.rank < a.rank),
+co AS (SELECT p.x, p.y, count(*) AS c FROM (SELECT DISTINCT x, y FROM prs) p JOIN held h ON h.term = p.x JOIN held g ON g.term = p.y AND g.doc_id = h.doc_id GROUP BY ALL),
+per AS (SELECT topic, avg(ln((coalesce(c, 0) / n + 1e-12) / (d / n))) AS coherence
+        FROM prs LEFT JOIN co ON co.x = prs.x AND co.y = prs.y JOIN df ON df.term = prs.y, n GROUP BY topic)
+SELECT topic, round(coherence, 6) + 0.0 AS coherence, round(avg(coherence) OVER (), 6) + 0.0 AS model_coherence FROM per""")
+def u_mass_classes(spark, d):
+    """M6 on fixed topics: the 20 commonest terms of each source, from bitmaps of their documents."""
+    docs = docs_filtered(spark, d)
+    order = Window.partitionBy("source").orderBy(F.desc("tf"), F.asc("term"))
+    terms = (T.class_term_counts(docs, "source", "tokens").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+             .select(F.col("source").alias("topic"), "rank", "term"))
+    return TP.u_mass_of_documents(terms, docs, "tokens").select("topic", r6("coherence").alias("coherence"),
+                                                               r6("model_coherence").alias("model_coherence"))
+
+
 def _contexts(spark, d):
     kept = A.filter_top_n(roles.comments(spark, d),
                           A.get_top_n_counts(roles.comments(spark, d), "subreddit", TOP_N), "subreddit")

@@ -142,3 +142,30 @@ def text_model_reload(spark, d):
     return nz.select("doc_id", F.from_json(F.to_json(F.struct("v")), "v struct<indices:array<int>,values:array<double>>").alias("j")).select(
         "doc_id", F.size("j.v.indices").cast("bigint").alias("n_terms"),
         F.aggregate("j.v.values", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens")).filter("n_terms > 0")
+
+
+@query("text_pipeline_reload", q_text._VOCAB_SQL + """
+SELECT tf.doc_id, v.term_id, v.term, round(tf.tf * ln((n + 1.0) / (v.doc_freq + 1.0)), 6) + 0.0 AS weight
+FROM tf JOIN v ON tf.term = v.term, nd""")
+def text_pipeline_reload(spark, d):
+    """A fitted text pipeline (pattern, stop words, vocabulary, IDF) is stored, loaded and applied."""
+    from tribewise.operators import text_pipeline as P
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    fitted = P.TextPipeline(inputCol="text", minDF=q_text.MIN_DF, maxDF=q_text.MAX_DF, vocabSize=q_text.VOCAB_SIZE, useIDF=True).fit(docs)
+    path = _folder(spark, "text-pipeline")
+    K.save_pipeline(fitted, path)
+    model = P.TextPipelineModel.load(path)
+    return P.terms_of_vectors(model.transform(docs), "doc_id", model.vocabulary).withColumn("weight", r6("weight"))
+
+
+@query("results_round_trip", """
+SELECT 'by_norm' AS model, vec_id AS key, label AS cluster, len(embedding) AS dims FROM embeddings""")
+def results_round_trip(spark, d):
+    """A results table joined with a table by key, through its CSV."""
+    from tribewise.operators import clusters as CL
+    e = table(spark, d, "embeddings")
+    out = CL.results_table(e.select(F.col("vec_id").alias("key"), F.col("label").alias("cluster")), "by_norm",
+                           e.select(F.col("vec_id").alias("key"), F.size("embedding").cast("bigint").alias("dims")))
+    path = _folder(spark, "results")
+    K.write_csv(out, path)
+    return R.read_header_csv(spark, path, out.schema)
