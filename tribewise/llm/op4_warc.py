@@ -33,6 +33,8 @@ from .common import open_shared, shared_path, written
 
 CHUNK = 16 << 10
 ARCHIVE = 256 << 20
+#: Bytes of payload for a writing task.
+TASK = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the archive format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -134,7 +136,10 @@ def write_archives(chunks: DataFrame, folder: str, min_bytes: int = 0, archive_b
     digest = (chunks.filter(F.col("chunk_no") == F.col("n_chunks") - 1)
               .select("record", F.col("running_digest").alias("digest")))
     marks = digest.join(revisits(chunks, min_bytes), "record", "left")
-    rows = (chunks.drop("running_digest").join(marks, "record")
+    # dealt by record before the join, so that all chunks of a record are in one task whatever join is planned
+    size = chunks.filter("chunk_no = 0").agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
+    rows = (chunks.drop("running_digest").repartition(tasks, "record").join(marks, "record")
             .withColumn("revisit", F.coalesce("revisit", F.lit(False)))
             .withColumn("chunk", F.when(~F.col("revisit"), F.col("chunk"))))
     rows = rows.sortWithinPartitions("record", "chunk_no")
@@ -144,11 +149,14 @@ def write_archives(chunks: DataFrame, folder: str, min_bytes: int = 0, archive_b
         from pyspark import TaskContext
         ctx = TaskContext.get()
         stem = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        archive, done = None, []
+        archive, done, expected = None, [], (None, 0)
         for batch in batches:
             heads = batch.drop_columns(["chunk"])
             for i, data in enumerate(batch.column("chunk")):
                 row = {n: c[i].as_py() for n, c in zip(heads.schema.names, heads.columns)}
+                if (row["record"], row["chunk_no"]) != expected and row["chunk_no"]:
+                    raise ValueError(f"a chunk before {row['chunk_no']} of record {row['record']} is missing")
+                expected = row["record"], row["chunk_no"] + 1
                 if row["chunk_no"] == 0:
                     if archive is not None and archive.size >= archive_bytes:
                         done.append(archive.close())
@@ -170,15 +178,19 @@ def write_archives(chunks: DataFrame, folder: str, min_bytes: int = 0, archive_b
 
 def _blocks(f, size: int = 1 << 18):
     """The unpacked bytes of a file of gzip members, in pieces; nothing is held beyond one piece."""
-    unpack = zlib.decompressobj(31)
-    while data := f.read(size):
-        while data:
-            yield unpack.decompress(data, size)
-            while unpack.unconsumed_tail:
-                yield unpack.decompress(unpack.unconsumed_tail, size)
+    unpack, data = zlib.decompressobj(31), f.read(size)
+    inside = False
+    while data:
+        yield unpack.decompress(data, size)
+        inside = not unpack.eof
+        if unpack.eof:  # at a member's end all that follows is in ``unused_data``
             data = unpack.unused_data
-            if unpack.eof:
-                unpack = zlib.decompressobj(31)
+            unpack = zlib.decompressobj(31)
+        else:
+            data = unpack.unconsumed_tail
+        data = data or f.read(size)
+    if inside:
+        raise ValueError("the archive ends inside a record")
 
 
 def records(f):
