@@ -4,9 +4,10 @@ The normaliser walks the model's compiled character map (a double-array trie
 and a table of replacements) by longest prefix, and notes for every byte of
 the normalised text which source byte it came from.  Pieces are laid over the
 normalised bytes one after the other, so the alignment projects each piece to
-a span of original UTF-8 bytes.  The pieces of a byte-pair model are merged
-here, from the normalised bytes; the library encodes every text once more, and
-a text on which both differ is an error.
+a span of original UTF-8 bytes.  The library encodes every text once; the bytes of its
+pieces, joined, must be the normalised text, and their lengths are taken from a table by id.
+A model without a character map and without squeezing (the dealt one) changes blanks only, which is done
+for a whole text at once; the longest-prefix walk is for models that have a map.
 
 Cases: null text counts as empty; an empty text has the end id only; equal
 rows give equal rows; extra columns pass through ``encode`` untouched.
@@ -15,8 +16,6 @@ rows give equal rows; extra columns pass through ``encode`` untouched.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import re
 import struct
 
 from pyspark.sql import DataFrame
@@ -68,29 +67,6 @@ def normaliser_spec(model_path: str) -> dict:
     return spec
 
 
-def byte_pair_vocabulary(model_path: str) -> tuple[dict, list[int]] | None:
-    """({piece: (id, score)}, ids of the 256 bytes), or None if the model is of another kind.
-
-    Another kind: not byte-pair, without bytes for unknown characters, or with user-defined or unused pieces.
-    """
-    with open(model_path, "rb") as f:
-        raw = f.read()
-    pieces, byte_ids, kind, n = {}, [0] * 256, 1, 0
-    for field, value in _fields(raw):
-        if field == 1:
-            piece = {1: b"", 2: bytes(4), 3: 1} | dict(_fields(value))
-            if piece[3] == 1:
-                pieces[piece[1].decode()] = (n, struct.unpack("<f", piece[2])[0])
-            elif piece[3] == 6:
-                byte_ids[int(piece[1][3:5], 16)] = n
-            elif piece[3] in (4, 5):
-                return None
-            n += 1
-        elif field == 2:
-            kind = dict(_fields(value)).get(3, 1)
-    return (pieces, byte_ids) if kind == 2 and all(byte_ids) else None
-
-
 # ---------------------------------------------------------------- normaliser
 
 class Normaliser:
@@ -185,24 +161,19 @@ class Normaliser:
 # ------------------------------------------------------------------- encoder
 
 class Encoder:
-    """The aligned normaliser and the merges over its bytes, with the library's processor beside them."""
-
-    CACHED = 200_000
+    """The aligned normaliser beside the library's processor, and what each piece covers of a normalised text."""
 
     def __init__(self, model_path: str):
+        import numpy as np
         import sentencepiece
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.normaliser = Normaliser(**normaliser_spec(model_path))
-        self.decimal = [str(i) for i in range(self.sp.get_piece_size())]
-        self.vocabulary = byte_pair_vocabulary(model_path)
-        if self.vocabulary:
-            pieces = self.vocabulary[0]
-            joined = {c for p in pieces if len(p) > 1 for c in p} - {MARK}
-            # no piece has a mark after another character, or a character outside ``joined`` beside another: cut there
-            ahead = joined and not any(MARK in p.lstrip(MARK) for p in pieces)
-            inner = "[" + re.escape("".join(sorted(joined))) + "]"
-            self.cuts = re.compile(f"{MARK}+{inner}*|{inner}+|." if ahead else ".+", re.DOTALL)
-            self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        size = self.sp.get_piece_size()
+        self.decimal = [str(i) for i in range(size)]
+        #: Bytes of each piece; a byte piece stands for its byte, unknown characters have no length of their own.
+        self.covers = [bytes([int(self.sp.id_to_piece(i)[3:5], 16)]) if self.sp.is_byte(i) else
+                       b"" if self.sp.is_unknown(i) or self.sp.is_control(i) else self.sp.id_to_piece(i).encode() for i in range(size)]
+        self.lengths = np.array([len(p) for p in self.covers], np.int64)
 
     def ids(self, text: str) -> list[int]:
         return self.sp.encode(text, num_threads=1)
@@ -210,81 +181,34 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
-    def merged(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Ids and byte lengths: always the best-scored pair of neighbours merges, the leftmost of equals."""
-        pieces, byte_ids = self.vocabulary
-        symbols, n = list(chunk), len(chunk)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def propose(a: int, b: int) -> None:
-            if a >= 0 and b < n:
-                both = symbols[a] + symbols[b]
-                if both in pieces:
-                    heapq.heappush(heap, (-pieces[both][1], a, b, both))
-
-        for k in range(n - 1):
-            propose(k, k + 1)
-        while heap:
-            _, a, b, both = heapq.heappop(heap)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != len(both):
-                continue
-            symbols[a], symbols[b] = both, ""
-            after[a] = after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            propose(before[a], a)
-            propose(a, after[a])
-        ids, sizes = [], []
-        for x in filter(None, symbols):
-            if x in pieces:
-                ids.append(pieces[x][0])
-                sizes.append(len(x.encode()))
-            else:
-                raw = x.encode()
-                ids += [byte_ids[c] for c in raw]
-                sizes += [1] * len(raw)
-        return ids, sizes
-
-    def laid(self, text: str, norm: bytes) -> tuple[list[int], list[int]]:
-        """Ids of the pieces that cover the normalised bytes one after the other, and their byte lengths."""
-        ids, sizes = [], []
-        if self.vocabulary:
-            cache = self.cache
-            for chunk in self.cuts.findall(norm.decode()):
-                hit = cache.get(chunk)
-                if hit is None:
-                    hit = self.merged(chunk)
-                    if len(chunk) <= 64:
-                        if len(cache) >= self.CACHED:
-                            cache.clear()
-                        cache[chunk] = hit
-                ids += hit[0]
-                sizes += hit[1]
-            if ids != self.ids(text):
-                raise ValueError("pieces differ from the library's")
-            return ids, sizes
-        ids, at = self.ids(text), 0
-        for i in ids:
-            if self.sp.is_byte(i):
-                n = 1
-            elif self.sp.is_unknown(i):
-                n = len(norm[at:].decode("utf-8", "ignore")[:1].encode())
-            else:
-                n = len(self.sp.id_to_piece(i).encode())
-            sizes.append(n)
-            at += n
-        return ids, sizes
+    def _lengths(self, ids: list[int], norm: bytes):
+        """Bytes of ``norm`` that each piece covers, one after the other."""
+        import numpy as np
+        if b"".join(map(self.covers.__getitem__, ids)) == norm:
+            return self.lengths[ids] if ids else np.zeros(0, np.int64)
+        sizes, at = [], 0
+        for i in ids:  # unknown characters among them: each is one character long
+            sizes.append(len(self.covers[i]) or len(norm[at:at + 4].decode("utf-8", "ignore")[:1].encode()))
+            at += sizes[-1]
+        return np.array(sizes, np.int64)
 
     def aligned(self, text: str):
-        """Ids, and (begin, end) of each piece in bytes of the original text as an array of two columns."""
+        """Ids, and (begin, end) of each piece in bytes of the original text as an array of two columns.
+
+        Should the pieces not cover the normalised bytes, the spans are those of the library's surfaces.
+        """
         import numpy as np
         norm, source = self.normaliser.aligned(text)
-        ids, sizes = self.laid(text, norm)
-        ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
-        if (ends[-1] if len(ends) else 0) != len(norm):
-            raise ValueError("pieces do not cover the normalised text")
-        return ids, np.stack([source[ends - sizes], source[ends]], axis=1) if ids else np.zeros((0, 2), np.int64)
+        ids = self.ids(text)
+        if not ids:
+            return ids, np.zeros((0, 2), np.int64)
+        sizes = self._lengths(ids, norm)
+        ends = np.cumsum(sizes)
+        if ends[-1] != len(norm):
+            sizes = np.array([len(p.surface.encode()) for p in self.sp.encode(text, return_type="proto").pieces], np.int64)
+            ends = np.cumsum(sizes)
+            return ids, np.stack([ends - sizes, ends], axis=1)
+        return ids, np.stack([source[ends - sizes], source[ends]], axis=1)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece, begin and end in bytes of the original text."""
@@ -320,11 +244,14 @@ def _mapped(docs: DataFrame, text_col: str, rows, out_schema: str, keep: list[st
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                values = [rows(t) for t in part.column("__text").to_pylist()]
+                values = [rows(t) for t in part.column(len(keep)).to_pylist()]
                 cols = [pa.array([v[k] for v in values], target.field(n).type) for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(part.columns[:len(keep)] + cols, names=[*keep, *names])
 
-    source = docs.select(*[F.col(f"`{k}`") for k in keep], text_or_empty(text_col).alias("__text"))
+    text = "__text"
+    while text in keep:
+        text += "_"
+    source = docs.select(*[F.col(f"`{k}`") for k in keep], text_or_empty(text_col).alias(text))
     return source.mapInArrow(run, schema)
 
 
