@@ -1,6 +1,7 @@
 """Sharding, search, archives, token files, SentencePiece, quality and the pipeline against plain versions."""
 
 import base64
+import gzip
 import hashlib
 import io
 import math
@@ -24,6 +25,35 @@ ODD = ["", " ", "  a", "a  b\n c", "x\n\n y", "a \n b  ", "<|endoftext|> a <|end
        "😀, y😀.z", "don't, can't.'s", "▁", "a▁ b", "\x00 a", "<s> </s> <0x41>", " " * 40 + "x"]
 
 
+def test_quality_columns_named_like_ours(spark):
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else "junk !!", i % 2, "x") for i in range(40)], "doc_id long, text string, quality int, __text string")
+    model = op8_quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    assert {r["__text"] for r in op8_quality.score(docs, model).collect()} == {"x"}
+
+
+# ---------------------------------------------------------------------- archives of large records
+
+@pytest.mark.parametrize("sizes", [(200_000,), (300_000,), (600_000, 5), (5, 300_000, 7), (5_000_000, 1, 300_000, 262_144, 262_143)])
+def test_members_of_any_size_end(sizes):
+    rng = random.Random(1)
+    parts = [bytes(rng.randrange(256) for _ in range(min(n, 1000))) * (n // min(n, 1000)) for n in sizes]
+    raw = b"".join(gzip.compress(p, mtime=0) for p in parts)
+    assert b"".join(op4_warc._blocks(io.BytesIO(raw))) == b"".join(parts)
+    for cut in (1, len(raw) // 2):
+        with pytest.raises(ValueError):
+            b"".join(op4_warc._blocks(io.BytesIO(raw[:-cut])))
+
+
+def test_round_trip_of_large_pages(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(5000)]
+    sizes = [300_000, 5_000_000, 20, 262_144, 300_000, 900_000] * 3 + [20_000_000]
+    rows = [(i, f"http://x/{i}", (" ".join(words[i:]) + " " + str(i % 5)) * (n // 30_000) if n > 100 else f"small {i}") for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in op4_warc.round_trip(pages).collect()}
+    assert got == {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+
+
 # ------------------------------------------------------------------------- words
 
 def test_word_hashes_follow_words():
@@ -212,6 +242,12 @@ def test_sentencepiece_spans():
             assert spans[0][1] == 0 and spans[-1][2] == len(data)
 
 
+def test_sentencepiece_columns_named_like_ours(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, __text string")
+    got = op7_sentencepiece.encode(docs, PIECES).collect()
+    assert {(r.doc_id, r["__text"], len(r.sp_ids) > 0) for r in got} == {(1, "x", True), (2, "y", True)}
+
+
 def trie(keys):
     """A compiled character map of a few one- and two-byte keys, laid out by hand."""
     blob, at = b"", {}

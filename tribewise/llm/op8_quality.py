@@ -201,18 +201,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``quality_score`` added (a column of that name is replaced)."""
-    base = docs.drop("quality_score").withColumn("__text", text_or_empty(text_col))
+    text = "__text"
+    while text in docs.columns:
+        text += "_"
+    base = docs.drop("quality_score").withColumn(text, text_or_empty(text_col))
 
     def run(batches):
         import pyarrow as pa
 
         from .common import text_runs
         for batch in batches:
-            for a, b in text_runs(batch, "__text"):
+            for a, b in text_runs(batch, text):
                 part = batch.slice(a, b - a)
-                x, owner = features(part.column("__text"))
+                x, owner = features(part.column(text))
                 got = pa.array(model.scores(x, owner, b - a), pa.float64())
-                rest = part.drop_columns(["__text"])
+                rest = part.drop_columns([text])
                 yield pa.RecordBatch.from_arrays([*rest.columns, got], names=[*rest.schema.names, "quality_score"])
 
     return base.mapInArrow(run, docs.drop("quality_score").schema.add("quality_score", "double"))
