@@ -26,15 +26,13 @@ import uuid
 import zlib
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import open_shared, shared_path, written
 
 CHUNK = 16 << 10
 ARCHIVE = 256 << 20
-#: Bytes of payload for a writing task.
-TASK = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the archive format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,27 +134,25 @@ def write_archives(chunks: DataFrame, folder: str, min_bytes: int = 0, archive_b
     digest = (chunks.filter(F.col("chunk_no") == F.col("n_chunks") - 1)
               .select("record", F.col("running_digest").alias("digest")))
     marks = digest.join(revisits(chunks, min_bytes), "record", "left")
-    # dealt by record before the join, so that all chunks of a record are in one task whatever join is planned
-    size = chunks.filter("chunk_no = 0").agg(F.sum("n_bytes")).first()[0] or 0
-    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
-    rows = (chunks.drop("running_digest").repartition(tasks, "record").join(marks, "record")
+    # numbering a record's chunks asks for all of them in one task, in order, whatever join is planned before it
+    # (the window spills beyond 4,096 chunks)
+    rows = (chunks.drop("running_digest").join(marks, "record")
             .withColumn("revisit", F.coalesce("revisit", F.lit(False)))
-            .withColumn("chunk", F.when(~F.col("revisit"), F.col("chunk"))))
-    rows = rows.sortWithinPartitions("record", "chunk_no")
+            .withColumn("chunk", F.when(~F.col("revisit"), F.col("chunk")))
+            .withColumn("place", F.row_number().over(Window.partitionBy("record").orderBy("chunk_no")) - 1))
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         ctx = TaskContext.get()
         stem = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        archive, done, expected = None, [], (None, 0)
+        archive, done = None, []
         for batch in batches:
             heads = batch.drop_columns(["chunk"])
             for i, data in enumerate(batch.column("chunk")):
                 row = {n: c[i].as_py() for n, c in zip(heads.schema.names, heads.columns)}
-                if (row["record"], row["chunk_no"]) != expected and row["chunk_no"]:
+                if row["place"] != row["chunk_no"]:
                     raise ValueError(f"a chunk before {row['chunk_no']} of record {row['record']} is missing")
-                expected = row["record"], row["chunk_no"] + 1
                 if row["chunk_no"] == 0:
                     if archive is not None and archive.size >= archive_bytes:
                         done.append(archive.close())
