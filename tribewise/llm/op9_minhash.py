@@ -6,11 +6,11 @@ of universal hash functions give the bands; classes that share a band are in
 one bucket.
 
 Within a bucket nothing is paired with everything.  The smallest class is
-compared with the others first; then, only in buckets whose members are still
-in several components, members outside the bucket's largest component take
-their turn, a few more each round, until every pair that could join two
-components has been compared.  A comparison first asks the signatures, then
-confirms on the full sets.
+compared with the others first, then, where members are still in several components, the one
+that shares most of its shingles.  What is still torn is settled all at once by an exact
+prefix filter over the full sets (``_across``): only pairs of different components that can
+still reach the limit are formed.  A comparison first asks the signatures, then confirms on the full
+sets.
 
 Components come from alternating large-star and small-star steps over the
 links.  Steps write small tables; only counts reach the driver.
@@ -34,6 +34,8 @@ SHINGLE, ROWS, BANDS, PERCENT = 2, 4, 32, 80
 _BASE = 0xD1342543DE82EF95  # a fixed odd number
 #: A pair is confirmed on full sets unless its signatures agree this much less than the limit (six deviations).
 SLACK = 0.22
+#: How often shingles that only hopeless sets share are taken out before pairs are formed.
+ROUNDS = 2
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +142,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _shingles_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, node, n, comp): the full sets of ``nodes``, a row per shingle."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column("full")[i].as_buffer(), np.int64)
+                same = [pa.array(np.full(len(s), batch.column(c)[i].as_py(), np.int64)) for c in ("node", "n", "comp")]
+                yield pa.RecordBatch.from_arrays([pa.array(s), *same], ["s", "node", "n", "comp"])
+
+    return (nodes.join(sets.select("node", "full"), "node").select("node", "n", "comp", "full")
+            .mapInArrow(run, "s long, node long, n long, comp long"))
+
+
+def _able(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Which of ``nodes`` (node, n, comp) can reach the limit with a node of another component: (node, k), and their
+    shared shingles (s, node, n, comp, f, k).
+
+    A shingle that only one component holds is no help for a link to another.  A node needs ``percent`` % of its shingles
+    (``k`` of them) among the others, or it is out, and its shingles with it, round by round.  ``f`` nodes hold a shingle.
+    """
+    held = written(_shingles_of(nodes, sets), "shingles")
+    for _ in range(ROUNDS):
+        about = written(held.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+                        .filter("x != y").select("s", "f"), "frequencies")
+        common = held.join(about, "s")
+        able = written(common.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+                       .filter(F.col("k") * 100 >= F.col("n") * percent).select("node", "k"), "able")
+        kept = written(common.join(able, "node").select("s", "node", "n", "comp", "f", "k"), "shingles")
+        free(held)
+        held = kept.select("s", "node", "n", "comp")
+    return able, kept
+
+
+def _central(members: DataFrame, nodes: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each bucket's node with the largest share of shingles among the others, with the members of other components."""
+    rows = written(members.select("bucket", "node").join(nodes, "node").join(able, "node"), "central")
+    best = rows.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "k", "comp"), F.struct(F.col("k") / F.col("n"), -F.col("node"))).alias("x"))
+    both = rows.join(best, "bucket").filter(
+        (F.col("comp") != F.col("x.comp")) & (F.least("k", "x.k") * (100 + percent) >= (F.col("n") + F.col("x.n")) * percent))
+    return both.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+
+def _across(kept: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the limit; no other can.  ``kept`` comes from ``_able``.
+
+    Two sets that reach the limit share so many shingles that, with each set's own shingles first and the shared
+    ones from rare to frequent, the first common one lies within the first n - percent n / 100 + 1
+    of each, and what follows it can still make up the overlap.
+    """
+    order = F.sort_array(F.collect_list(F.struct("f", "s")))
+    first = F.col("k") - F.ceil(F.col("n") * percent / 100) + 1  # of the shared shingles
+    lists = (kept.groupBy("node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.min("k").alias("k"), order.alias("o"))
+             .withColumn("o", F.slice("o", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))))
+    prefix = written(lists.select("node", "n", "comp", "k", F.posexplode("o").alias("i", "e"))
+                     .select(F.col("e.s").alias("s"), "node", "n", "comp", (F.col("k") - F.col("i")).alias("left")), "prefixes")
+    other = prefix.select("s", F.col("node").alias("o"), F.col("n").alias("m"), F.col("comp").alias("oc"), F.col("left").alias("oleft"))
+    enough = F.least("left", "oleft") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return (prefix.join(other, "s").filter((F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & enough)
+            .select(F.col("node").alias("a"), F.col("o").alias("b")).distinct())
+
+
 # ------------------------------------------------------------------ components
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -198,31 +262,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
              .filter(close("n", "m")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     tried = written(first, "pairs")
     links = written(_confirmed(tried, sets, percent), "links")
-    done = members.select("bucket", F.col("leader").alias("node")).distinct()
-    turn = 1
-    while True:
-        comp = components(links)
+    for last in (False, True):
+        comp = written(components(links), "components")
         live = members.select("bucket", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         torn = live.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
         live = written(live.join(torn, "bucket"), "torn")
-        main = (live.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("main")))
-        outside = (live.join(main, "bucket").filter("comp != main.comp").select("bucket", "node", "n", "comp")
-                   .join(done, ["bucket", "node"], "left_anti"))
-        order = Window.partitionBy("bucket").orderBy("node")
-        turn *= 32
-        leaders = written(outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= turn)
-                          .select("bucket", "node", "n", "comp"), "leaders")
-        if leaders.isEmpty():
-            break
-        other = live.select("bucket", F.col("node").alias("o"), F.col("n").alias("m"), F.col("comp").alias("oc"))
-        fresh = (leaders.join(other, "bucket").filter((F.col("comp") != F.col("oc")) & close("n", "m"))
-                 .select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
-        fresh = written(fresh, "pairs")
+        nodes = live.select("node", "n", "comp").distinct()
+        able, kept = _able(nodes, sets, percent)
+        fresh = _across(kept, percent) if last else _central(live, nodes, able, percent)
+        fresh = written(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(written(_confirmed(fresh, sets, percent), "links"))
-        tried, done = tried.unionByName(fresh), done.unionByName(leaders.select("bucket", "node"))
-        free(live)
+        tried = tried.unionByName(fresh)
+        members = live.select("bucket", "node", "n").join(able, "node", "leftsemi")
+    comp = components(links)
     named = classes.select("s1", "s2", "node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     of_class = named.join(names, "comp").select("s1", "s2", F.col("node").alias("class"), "comp", "component_id")
