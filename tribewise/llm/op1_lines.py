@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import free, text_key, written
 
 WINDOW = 3
 MARK = (1 << 63) - 1
@@ -65,7 +65,10 @@ def _positions(elements, window: int):
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, h1, h2, removed): line numbers to delete, for documents that have any; h1 and h2 name the text."""
+    """(key, h1, h2, removed): line numbers to delete, for documents that have any; h1 and h2 name the text.
+
+    The table is written; those that led to it are deleted before any text moves.
+    """
     source = docs.select(F.col(key).alias("k"), *text_key(text_col), F.col(text_col).alias("text")).filter("text is not null")
     found = source.select("k", "h1", "h2", F.explode(_positions(_elements("text", window), window)).alias("p"))
     found = written(found.select("k", "h1", "h2", "p.fp", "p.windows"), "fingerprints")
@@ -77,8 +80,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     first = written(extended.groupBy("fp", "content").agg(F.min("here").alias("first"), F.max("here").alias("last"))
                     .filter("first < last").select("fp", "content", "first"), "firsts")
     later = extended.join(first, ["fp", "content"]).filter("here > first")
-    return (later.select("here.k", "here.h1", "here.h2", F.explode("lines").alias("line"))
-            .groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+    gone = written(later.select("here.k", "here.h1", "here.h2", F.explode("lines").alias("line"))
+                   .groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
+    for used in (found, shared, first):
+        free(used)
+    return gone
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
