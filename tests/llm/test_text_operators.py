@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import math
 from collections import Counter
 
@@ -188,3 +189,25 @@ def test_short_items_count_word_for_word_and_blocks_count_the_same_words(spark):
     assert [r.doc_id for r in op10_decontaminate.without_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 4]
     signs = spark.createDataFrame([(i, "a+b-c*d=e/" * 20) for i in range(20)], "item_id long, text string")
     assert len(list(op10_decontaminate._blocks(signs, "item_id", "text", 400))) >= 5
+
+
+def test_decontaminate_texts_of_few_words(spark):
+    """Periodic texts have all diagonals as hits; the result is brute force's, and long ones end."""
+    import time
+    rng = random.Random(4)
+    items = [(1, "same " * 25), (2, "one two " * 15), (3, " ".join(rng.choice("ab") for _ in range(30))), (4, "same same same"), (5, "x y z " * 9)]
+    docs = [(1, "same " * 60), (2, "two one " * 30), (3, " ".join(rng.choice("ab") for _ in range(90))), (4, "u " * 9 + "same same same"),
+            (5, "one two three " * 20), (6, "same " * 30 + "one two " * 30 + "x y z " * 20)]
+    want = brute_overlaps(docs, items)
+    for crowded in (0, 4, 10 ** 9):
+        index = op10_decontaminate.Index(items, op10_decontaminate.MASKS, 20, 0.8, 8)
+        was, op10_decontaminate.CROWDED = op10_decontaminate.CROWDED, crowded
+        try:
+            got = {(d, hit[0]) for d, text in docs for hit in index.overlaps(text)}
+        finally:
+            op10_decontaminate.CROWDED = was
+        assert {x for x in got if x[1] != 4} == want and {d for d, k in got if k == 4} >= {1, 4, 6}
+    index = op10_decontaminate.Index([(1, "same " * 2000)], op10_decontaminate.MASKS, 20, 0.8, 8)
+    start = time.time()
+    assert index.overlaps("same " * 20000) == [(1, 0, 0, 2000, 2000)] or index.overlaps("same " * 20000)[0][3:] == (2000, 2000)
+    assert time.time() - start < 30

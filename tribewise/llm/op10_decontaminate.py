@@ -19,7 +19,10 @@ The benchmark is a query set: it goes to the tasks in blocks of at most
 over all documents, so the broadcast has a bound whatever the benchmark's size.  Hits are found and
 verified where the document lies; nothing of the documents is shuffled.
 
-Cases: null and empty texts have no overlap; items without a word take no part; equal items are each reported; repeated documents give
+A document has one row per item, on the diagonal with the most equal words.
+
+Cases: null and empty texts have no overlap; items without a word take no part; equal items are each reported; long texts of
+one or a few words are compared on all diagonals of an item of the same words, in time of their lengths' product at most; repeated documents give
 repeated rows; empty tables give no rows; extra columns are ignored.
 """
 
@@ -36,6 +39,9 @@ WORD = re.compile(r"\w+")
 #: 1 is a hashed position, 0 an ignored one.
 MASKS = ("11011", "10111", "1101001", "1001011")
 WINDOW, SIMILARITY, MIN_WORDS, BLOCK_WORDS, WORD_BYTES = 20, 0.8, 8, 1_000_000, 16
+#: Hits of an item, as a multiple of its diagonals, beyond which all are tried; hits listed at a time.
+CROWDED, STEP = 4, 1 << 20
+_SPAN = 1 << 33  # diagonals of one item in a number
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_overlap long, n_equal long"
 
 
@@ -60,6 +66,7 @@ class Index:
         whole = {n: len(masks) + j for j, n in enumerate(short)}
         self.masks = [(offsets(m), rng.integers(1, 1 << 62, m.count("1"), dtype=np.int64) * 2 + 1)
                       for m in [*masks, *("1" * n for n in short)]]
+        self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
         keys, where = [], []
         for k, (_, ids) in enumerate(self.items):
             for m in [whole[len(ids)]] if len(ids) in whole else range(len(masks)):
@@ -87,24 +94,50 @@ class Index:
             hashes = (hashes ^ (ids[at + o] * f)) * np.int64(0x2545F4914F6CDD1D)
         return at, hashes
 
+    def diagonals(self, ids):
+        """(item, place in the text minus place in the item) of every diagonal with a seed, each once.
+
+        Seeds are counted per item first, by their distinct hashes.  An item with more hits than ``CROWDED`` times the diagonals that
+        there are (texts of few words that recur) has all its diagonals tried instead; the hits of the others are
+        listed in steps of ``STEP``.
+        """
+        np, n = self.np, len(ids)
+        keys, where, seeds, load = self.keys, self.where, [], np.zeros(len(self.items), np.int64)
+        for m in range(len(self.masks)):
+            at, hashes = self.seeds(ids, m)
+            if len(at):
+                distinct, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                low, high = np.searchsorted(keys, distinct, "left"), np.searchsorted(keys, distinct, "right")
+                rows = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+                np.add.at(load, where[rows, 0], np.repeat(times, high - low))
+                seeds.append((at, distinct, inverse))
+        crowded = load > CROWDED * (n + self.lengths)
+        found = [k * _SPAN + np.arange(-int(self.lengths[k]) + 1, n) for k in np.flatnonzero(crowded)]
+        if crowded.any():
+            cold = ~crowded[where[:, 0]]
+            keys, where = keys[cold], where[cold]
+        for at, distinct, inverse in seeds:
+            low, high = np.searchsorted(keys, distinct, "left")[inverse], np.searchsorted(keys, distinct, "right")[inverse]
+            some = np.flatnonzero(high > low)
+            at, low, count = at[some], low[some], (high - low)[some]
+            ends, a = np.cumsum(count), 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
+                c = count[a:b]
+                hit = where[np.repeat(low[a:b] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+                found.append(np.unique(hit[:, 0] * _SPAN + np.repeat(at[a:b], c) - hit[:, 1]))
+                a = b
+        every = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        item = (every + _SPAN // 2) // _SPAN
+        return np.column_stack((item, every - item * _SPAN))
+
     def overlaps(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item, first word in the text, first word in the item, aligned words, equal words) of verified items."""
+        """(item, first word in the text, first word in the item, aligned words, equal words) of verified items, each on its best diagonal."""
         np = self.np
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64)
-        diagonals = []
-        for m in range(len(self.masks)):
-            at, hashes = self.seeds(ids, m)
-            low, high = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
-            count = high - low
-            hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            if len(hit):
-                found = self.where[hit]
-                diagonals.append(np.column_stack((found[:, 0], np.repeat(at, count) - found[:, 1])))
-        if not diagonals:
-            return []
         best = {}
-        for k, d in np.unique(np.concatenate(diagonals), axis=0).tolist():
+        for k, d in self.diagonals(ids).tolist():
             item_id, item = self.items[k]
             a, b = max(0, -d), min(len(item), len(ids) - d)
             w = min(self.window, len(item))
