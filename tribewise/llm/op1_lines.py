@@ -94,6 +94,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text_col: str = "text", w
     left = base.withColumns({"_ld_a": h1, "_ld_b": h2})
     gone = repeated_lines(docs, key, text_col, window).select(
         F.col("k").alias("_ld_k"), F.col("h1").alias("_ld_h1"), F.col("h2").alias("_ld_h2"), F.col("removed").alias("_ld_gone"))
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files of the steps before go, too
     joined = left.join(gone, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_a") == F.col("_ld_h1"))
                        & (F.col("_ld_b") == F.col("_ld_h2")), "left")
     removed, split = F.col("_ld_gone"), F.split(F.col(text_col), "\n")
