@@ -64,7 +64,7 @@ def dbscan_assignments(spark, d):
 @query("affinity_sparse")
 def affinity_sparse(spark, d):
     """C4 over the graph of the 32 nearest vectors."""
-    out, _ = CL.fit_clusters(_vectors(spark, d), "affinity", neighbors=32, damping=0.8)
+    out, _ = CL.fit_clusters(_vectors(spark, d), "affinity", neighbors=32, damping=0.8, convergence_iter=15)
     return out
 
 
