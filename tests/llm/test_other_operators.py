@@ -135,6 +135,18 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_rounds_run_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 12))
+    turns, meet = [], op3_nndescent._met
+    monkeypatch.setattr(op3_nndescent, "_met", lambda *a: (turns.append(a[-1]), meet(*a))[1])
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op3_nndescent.neighbours(table, lambda i: i % 20 == 0).collect()
+    assert turns and turns == list(range(len(turns)))
+    truth = {q: set(sorted((i for i in range(300) if i != q), key=lambda i: (-(x @ x[q])[i], i))[:20]) for q in range(0, 300, 20)}
+    assert sum(r.vec_id in truth[r.query_id] for r in got) >= 0.9 * 20 * len(truth)
+
+
 def test_neighbours_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert op3_nndescent.neighbours(spark.createDataFrame([], schema), lambda i: i >= 0).count() == 0
