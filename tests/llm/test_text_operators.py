@@ -14,8 +14,8 @@ from tribewise.llm import op1_lines, op5_substring, op9_minhash, op10_decontamin
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def brute_lines(rows, window=3):
-    """Deduped text per row by the definition; rows of equal id and text are one document."""
+def brute_lines(rows, window=3, least=50, longest=6):
+    """Deduped text per row: lines of a stretch that is heavy enough and also stands earlier go."""
     order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     seen, out = set(), {}
     for key in order:
@@ -24,24 +24,33 @@ def brute_lines(rows, window=3):
             continue
         lines = key[1].split("\n")
         real = [i for i, x in enumerate(lines) if x.strip(" ")]
-        marked = [None] * (window - 1) + real + [None] * (window - 1)
+        weight = {i: max(-(-least // window), lines[i].strip(" ").count(" ") + 1, len(lines[i].strip(" ")) // 10) for i in real}
         gone = set()
-        for s in range(len(marked) - window + 1):
-            part = marked[s:s + window]
-            content = tuple(None if i is None else lines[i] for i in part)
-            if not any(c is not None for c in content):
-                continue
-            if content in seen:
-                gone.update(i for i in part if i is not None)
-            seen.add(content)
+        for s in range(len(real)):
+            for e in range(s + 1, min(len(real), s + longest) + 1):
+                part = real[s:e]
+                if sum(weight[i] for i in part) < least:
+                    continue
+                content = tuple(lines[i] for i in part)
+                if content in seen:
+                    gone.update(part)
+                seen.add(content)
         out[key] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
 def test_lines(spark):
+    rng = random.Random(4)
+    sentence = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
     a, b = "head\nalpha beta\n\ngamma\ndelta", "head\nother\nalpha beta\ngamma\ndelta\nfoot"
+    long, thirty, twenty, heap = sentence(60), sentence(30), sentence(20), "日本語" * 200
     rows = [(1, a), (2, b), (3, "solo"), (4, "solo"), (5, None), (6, ""), (7, "x\nx\nx\nx\nx"), (8, "q\nalpha beta\nr"),
-            (9, "\n".join(str(i % 50) for i in range(3000))), (None, "head\nzzz"), (2, b)]
+            (9, "\n".join(str(i % 50) for i in range(3000))), (None, "head\nzzz"), (2, b),
+            (10, f"one\n{long}\ntwo"), (11, f"three\n  {long}  \nfour\n{long}\n{long}\nfive"), (12, f"{long}\nfoot"),
+            (13, f"u\n{thirty}\n{twenty}\nv"), (14, f"y\n{thirty}\n \n{twenty}\nz"), (15, f"{thirty}\nother\n{twenty}"),
+            (16, f"{heap}\nm"), (17, f"n\n{heap}"), (18, f"{thirty}\n{twenty}\np\nq"), (19, f"{thirty}\n{twenty}\np\nq")]
+    pool = [sentence(rng.choice([1, 3, 17, 25, 33, 49, 50, 51])) for _ in range(12)]
+    rows += [(20 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_lines int, removed string")
     got = op1_lines.deduplicated(docs)
     assert got.columns == ["doc_id", "text", "removed", "n_lines", "n_removed", "deduped"]
@@ -50,6 +59,9 @@ def test_lines(spark):
     assert len(found) == len(rows)
     for r in found:
         assert (r.n_lines, r.n_removed, r.deduped) == want[(r.doc_id, r.text)], r.doc_id
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[12].deduped == "foot" and by_id[14].deduped == "y\n \nz" and by_id[17].deduped == "n"
+    assert [by_id[i].n_removed for i in (4, 8, 15, 19)] == [0, 0, 0, 4]  # short edge lines stay
     assert op1_lines.deduplicated(no_documents(spark)).count() == 0
 
 

@@ -33,16 +33,20 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents),
 elements AS (
-  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
-  FROM lines WHERE trim(line, ' ') <> ''),
-counts AS (SELECT doc_id, max(p) AS n FROM elements GROUP BY doc_id),
-starts AS (SELECT doc_id, unnest(generate_series(-1, n)) AS s FROM counts),
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
+         greatest(17, length(t) - length(replace(t, ' ', '')) + 1, length(t) // 10) AS w
+  FROM (SELECT *, trim(line, ' ') AS t FROM lines) WHERE t <> ''),
+triples AS (
+  SELECT a.doc_id, a.p AS s, a.line AS la, b.line AS lb, c.line AS lc, a.i AS ia, b.i AS ib, c.i AS ic, a.w AS wa, b.w AS wb, c.w AS wc
+  FROM elements a
+  LEFT JOIN elements b ON b.doc_id = a.doc_id AND b.p = a.p + 1
+  LEFT JOIN elements c ON c.doc_id = a.doc_id AND c.p = a.p + 2),
 windows AS (
-  SELECT s.doc_id, s.s, a.line AS la, b.line AS lb, c.line AS lc, a.i AS ia, b.i AS ib, c.i AS ic
-  FROM starts s
-  LEFT JOIN elements a ON a.doc_id = s.doc_id AND a.p = s.s
-  LEFT JOIN elements b ON b.doc_id = s.doc_id AND b.p = s.s + 1
-  LEFT JOIN elements c ON c.doc_id = s.doc_id AND c.p = s.s + 2),
+  SELECT doc_id, s, la, NULL AS lb, NULL AS lc, ia, NULL AS ib, NULL AS ic FROM triples WHERE wa >= 50
+  UNION ALL
+  SELECT doc_id, s, la, lb, NULL, ia, ib, NULL FROM triples WHERE wa + wb >= 50 AND (wa < 50 OR wb < 50)
+  UNION ALL
+  SELECT doc_id, s, la, lb, lc, ia, ib, ic FROM triples WHERE wa + wb + wc >= 50 AND (wa + wb < 50 OR wb + wc < 50)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY la, lb, lc ORDER BY doc_id, s) AS r FROM windows),
 gone AS (
