@@ -85,14 +85,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(key).alias("k"), *text_key(text_col), F.col(text_col).alias("text")).filter("text is not null")
     found = source.select("k", "h1", "h2", F.explode(_positions(_elements("text", window, min_words), window, min_words)).alias("p"))
     found = written(found.select("k", "h1", "h2", "p.fp", "p.windows"), "fingerprints")
-    # counts and firsts are written before they are joined, so that hot lines can be split
+    # counts and firsts are written before they are joined, so that hot lines can be split; these tables grow
+    # with the input, so they are merged at every size and never broadcast
     shared = written(found.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "shared")
-    extended = found.join(shared, "fp").select("fp", "k", "h1", "h2", F.explode("windows").alias("w")).select(
+    extended = found.join(shared.hint("merge"), "fp").select("fp", "k", "h1", "h2", F.explode("windows").alias("w")).select(
         "fp", F.col("w.content").alias("content"), F.struct("k", "h1", "h2", F.col("w.start").alias("start")).alias("here"),
         F.col("w.lines").alias("lines"))
     first = written(extended.groupBy("fp", "content").agg(F.min("here").alias("first"), F.max("here").alias("last"))
                     .filter("first < last").select("fp", "content", "first"), "firsts")
-    later = extended.join(first, ["fp", "content"]).filter("here > first")
+    later = extended.join(first.hint("merge"), ["fp", "content"]).filter("here > first")
     gone = written(later.select("here.k", "here.h1", "here.h2", F.explode("lines").alias("line"))
                    .groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_set("line")).alias("removed")), "gone")
     for used in (found, shared, first):
@@ -109,7 +110,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text_col: str = "text", w
     gone = repeated_lines(docs, key, text_col, window, min_words).select(
         F.col("k").alias("_ld_k"), F.col("h1").alias("_ld_h1"), F.col("h2").alias("_ld_h2"), F.col("removed").alias("_ld_gone"))
     docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files of the steps before go, too
-    joined = left.join(gone, F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_a") == F.col("_ld_h1"))
+    joined = left.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_ld_k")) & (F.col("_ld_a") == F.col("_ld_h1"))
                        & (F.col("_ld_b") == F.col("_ld_h2")), "left")
     removed, split = F.col("_ld_gone"), F.split(F.col(text_col), "\n")
 
