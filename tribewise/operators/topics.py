@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tribewise.session import cut_lineage
+
 EPSILON = 1e-12
 # --- fixed values: LDA defaults of the reference ---------------------------
 LDA_DEFAULTS = {"num_topics": 250, "max_iter": 50, "optimizer": "online", "subsampling_rate": 0.05}
@@ -90,7 +92,8 @@ def u_mass(terms: DataFrame, presence: DataFrame, id_col: str = "doc_id", term_c
     """
     n_docs = presence.select(F.count_distinct(id_col)).scalar()
     needed = terms.select(term_col).distinct()
-    pres = presence.select(id_col, term_col).distinct().join(needed, term_col, "leftsemi")
+    # only the needed terms' rows are shuffled
+    pres = cut_lineage(presence.select(id_col, term_col).join(F.broadcast(needed), term_col, "leftsemi").distinct())
     df = pres.groupBy(term_col).agg(F.count(F.lit(1)).alias("d"))
     t1 = terms.select("topic", F.col("rank").alias("r1"), F.col(term_col).alias("w_prime"))
     t2 = terms.select("topic", F.col("rank").alias("r2"), F.col(term_col).alias("w_star"))

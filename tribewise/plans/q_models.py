@@ -18,8 +18,9 @@ from tribewise.operators import topics as TP
 from tribewise.plans import roles
 from tribewise.plans.q_activity import TOP_N, USER_EXCLUDE
 from tribewise.plans.q_embed import cooc_df, emb
-from tribewise.plans.q_text import _CLASS_SQL, docs_filtered, vocab_df
+from tribewise.plans.q_text import _CLASS_SQL, MAX_DF, MIN_DF, VOCAB_SIZE, docs_filtered
 from tribewise.plans.registry import query, r6, table
+from tribewise.session import cut_lineage
 
 N_CLUSTERS = 10
 N_TOPICS = 10
@@ -87,30 +88,32 @@ def affinity_assignments(spark, d):
 
 
 def _lda(spark, d):
-    docs = docs_filtered(spark, d)
-    vocab = vocab_df(spark, d).cache()
+    # the iterations of LDA read stored vectors, not texts
+    docs = cut_lineage(docs_filtered(spark, d).select("doc_id", "tokens"))
+    vocab = cut_lineage(T.vocabulary_of_tokens(docs, "tokens", min_df=MIN_DF, max_df=MAX_DF, vocab_size=VOCAB_SIZE))
     vec, _ = T.to_count_vectors(docs, "tokens", vocab)
+    vec = cut_lineage(vec.select("doc_id", "vectorized"))
     model = TP.fit_lda(vec, "vectorized", num_topics=N_TOPICS, seed=SEED)
-    return model, vec, vocab
+    return model, vec, vocab, docs
 
 
 @query("lda_topics")
 def lda_topics(spark, d):
-    model, vec, _ = _lda(spark, d)
+    model, vec, _, _ = _lda(spark, d)
     return TP.topic_assignments(model, vec, "doc_id").select("doc_id", "topic", r6("probability").alias("probability"))
 
 
 @query("lda_top_terms")
 def lda_top_terms(spark, d):
-    model, _, vocab = _lda(spark, d)
+    model, _, vocab, _ = _lda(spark, d)
     return TP.top_terms(model, vocab, 20).select("topic", "rank", "term_id", "term", r6("weight").alias("weight"))
 
 
 @query("u_mass")
 def u_mass(spark, d):
-    model, _, vocab = _lda(spark, d)
-    terms = TP.top_terms(model, vocab, 20)
-    presence = docs_filtered(spark, d).select("doc_id", F.explode("tokens").alias("term"))
+    model, _, vocab, docs = _lda(spark, d)
+    terms = cut_lineage(TP.top_terms(model, vocab, 20))
+    presence = docs.select("doc_id", F.explode("tokens").alias("term"))
     return TP.u_mass(terms, presence).select("topic", r6("coherence").alias("coherence"),
                                              r6("model_coherence").alias("model_coherence"))
 
