@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribewise import schemas as S
+from tribewise.session import cut_lineage
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens_col: str,
@@ -138,6 +139,7 @@ def term_probabilities(class_tf: DataFrame, class_col: str, term_col: str = "ter
 
     Adds ``class_tokens`` (N_c), ``term_total`` (n_t), ``corpus_tokens`` (N).
     """
+    class_tf = cut_lineage(class_tf)  # counted once for totals and both ranks
     class_tot = class_tf.groupBy(class_col).agg(F.sum(tf_col).alias("class_tokens"))
     corpus = class_tot.select(F.sum("class_tokens")).scalar()
     # a term has at most one row per class, so its window is small
