@@ -11,6 +11,7 @@ from tribewise.operators import text as T
 from tribewise.operators import threads as TH
 from tribewise.plans import roles
 from tribewise.plans.registry import query, r6, table
+from tribewise.session import cut_lineage
 
 MAX_DELTA = 180 * 86400
 MIN_DELTA = 86400
@@ -167,8 +168,9 @@ SELECT tf.doc_id, v.term_id, round(tf.tf * ln((n + 1.0) / (v.doc_freq + 1.0)), 6
 FROM tf JOIN v ON tf.term = v.term, nd""")
 def tfidf_vectors(spark, d):
     docs = table(spark, d, "documents")
-    vocab = vocab_df(spark, d)
-    out = T.vectorize_long(docs_tf(spark, d), vocab, idf=T.idf_weights(vocab, docs))
+    tokens = cut_lineage(docs_filtered(spark, d).select("doc_id", "tokens"))
+    vocab = cut_lineage(T.vocabulary_of_tokens(tokens, "tokens", min_df=MIN_DF, max_df=MAX_DF, vocab_size=VOCAB_SIZE))
+    out = T.vectorize_long(T.term_frequencies(tokens, "doc_id", "tokens"), vocab, idf=T.idf_weights(vocab, docs))
     return out.select("doc_id", "term_id", r6("weight").alias("weight"))
 
 
