@@ -17,7 +17,7 @@ from tribewise.operators.embeddings import read_analogy_pairs
 from tribewise.plans import q_text, roles
 from tribewise.plans.q_activity import _CONTEXTS_SQL, user_contexts_df
 from tribewise.plans.registry import query, r6, table
-from tribewise.session import checkpoint_dir
+from tribewise.session import checkpoint_dir, cut_lineage
 from tribewise.sources import readers as R
 from tribewise.sources import sinks as K
 
@@ -133,8 +133,9 @@ SELECT tf.doc_id, count(*) AS n_terms, CAST(sum(tf.tf) AS BIGINT) AS n_tokens FR
 def text_model_reload(spark, d):
     """A stored bag-of-words model gives each document its terms and counts."""
     from pyspark.ml.feature import CountVectorizerModel
-    docs = q_text.docs_filtered(spark, d)
-    _, model = T.to_count_vectors(docs, "tokens", q_text.vocab_df(spark, d))
+    docs = cut_lineage(q_text.docs_filtered(spark, d).select("doc_id", "tokens"))
+    vocab = T.vocabulary_of_tokens(docs, "tokens", min_df=q_text.MIN_DF, max_df=q_text.MAX_DF, vocab_size=q_text.VOCAB_SIZE)
+    _, model = T.to_count_vectors(docs, "tokens", vocab)
     path = _folder(spark, "bag-of-words")
     K.save_pipeline(model, path)
     out = CountVectorizerModel.load(path).transform(docs)
