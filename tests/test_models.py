@@ -144,6 +144,20 @@ def test_word2vec_queries_run_on_the_driver_tables(spark):
     assert sorted(r["vector_size"] for r in grid) == [8, 16]
 
 
+def test_word2vec_of_contexts_without_words(spark):
+    """No context is left where nearly all users have one comment: no vectors, and no error."""
+    from tribewise.operators import activity as A
+    from tribewise.operators import embeddings as E
+    rows = [(f"u{i}", f"c{i % 3}") for i in range(50)] + [("v", "c0"), ("v", "c1")]
+    contexts = A.aggregate_for_vectorization(spark.createDataFrame(rows, "author string, subreddit string"), "author", "subreddit", as_array=True)
+    assert contexts.count() == 0
+    vectors, model = E.word2vec_embeddings(contexts, "subreddit_concat", vector_size=4)
+    assert vectors.columns == ["key", "vector"] and vectors.count() == 0 and model is None
+    rare = spark.createDataFrame([(["a", "b"],), (["c"],)], "words array<string>")
+    assert E.word2vec_embeddings(rare, "words", vector_size=4, min_count=2)[0].count() == 0
+    assert E.word2vec_embeddings(rare, "words", vector_size=4, min_count=1)[0].count() == 3
+
+
 def test_affinity_tiles_and_stop_rule(spark):
     """The answer at 3 x 3 tiles is NumPy's, also when the iterations end right where sklearn's rule first holds."""
     rng = np.random.default_rng(5)

@@ -125,10 +125,16 @@ def word2vec_embeddings(contexts: DataFrame, tokens_col: str, vector_size: int =
     """E2(b): Spark ML Word2Vec (skip-gram, hierarchical softmax) over the contexts.
 
     ``window`` is the reference's longest-context window.  Returns
-    (vectors DataFrame (key, vector array<double>), fitted model).
+    (vectors DataFrame (key, vector array<double>), fitted model); contexts without a word that
+    occurs ``min_count`` times give no vectors and no model.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
+    words = contexts.select(F.explode(tokens_col).alias("word"))
+    if min_count > 1:
+        words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    if words.isEmpty():
+        return contexts.sparkSession.createDataFrame([], f"{key_col} string, vector array<double>"), None
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, maxIter=epochs, stepSize=alpha,
                    seed=seed, minCount=min_count, inputCol=tokens_col, outputCol="_w2v",
                    numPartitions=1, maxSentenceLength=max(1000, window))
