@@ -32,11 +32,11 @@ def term_stats(docs: DataFrame, tokens_col: str, term_col: str = "term") -> Data
 
     Each row emits its tokens and its distinct tokens, so no (document, term) pair is shuffled.
     """
-    both = F.concat(F.transform(tokens_col, lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))),
-                    F.transform(F.array_distinct(tokens_col), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))
-    return (docs.select(F.explode(both).alias("_x")).groupBy(F.col("_x.t").alias(term_col))
-            .agg(F.sum(F.col("_x.d").cast("bigint")).alias("doc_freq"),
-                 F.sum((1 - F.col("_x.d")).cast("bigint")).alias("total_count")))
+    both = F.array(F.struct(F.col(tokens_col).alias("t"), F.lit(0).alias("d")),
+                   F.struct(F.array_distinct(tokens_col).alias("t"), F.lit(1).alias("d")))
+    return (docs.select(F.explode(both).alias("_x")).select(F.explode("_x.t").alias(term_col), F.col("_x.d").alias("_d")).groupBy(term_col)
+            .agg(F.sum(F.col("_d").cast("bigint")).alias("doc_freq"),
+                 F.sum((1 - F.col("_d")).cast("bigint")).alias("total_count")))
 
 
 def vocabulary_of_tokens(docs: DataFrame, tokens_col: str, term_col: str = "term", min_df: float = 1.0,

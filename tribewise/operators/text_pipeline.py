@@ -6,12 +6,15 @@ as an ML ``PipelineModel`` and the vocabulary (term_id, term, doc_freq, total_co
 
 The vocabulary comes from the map-side combined statistics of ``operators.text``, in the order (count
 descending, term): ids do not depend on partitions.  Only the cut vocabulary, at most ``vocabSize`` terms, is on the driver.
+With IDF, the fit writes the tokens once under the shared folder and reads them for the vocabulary and the weights.
 
 Cases: a null text is a document without tokens; terms outside the vocabulary are dropped; a vocabulary without terms raises.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, RegexTokenizer, StopWordsRemover
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from tribewise import schemas as S
 from tribewise.functions.text import TOKEN_PATTERN, default_stop_words
 from tribewise.operators import text as T
+from tribewise.session import cut_lineage, drop_state
 
 _STRING, _FLOAT, _INT, _BOOL = (TypeConverters.toString, TypeConverters.toFloat, TypeConverters.toInt, TypeConverters.toBoolean)
 
@@ -74,7 +78,9 @@ class TextPipeline(_TextParams, Estimator, DefaultParamsReadable, DefaultParamsW
             stages.append(StopWordsRemover(inputCol=get("tokensCol"), outputCol=S.FILTERED_TOKENS, caseSensitive=get("stopCaseSensitive"),
                                            stopWords=list(default_stop_words(get("stopLanguage")))))
         words = self._words_col()
-        tokens = PipelineModel(stages).transform(docs)
+        tokens = PipelineModel(stages).transform(docs).select(words)
+        if get("useIDF"):  # read twice, for the vocabulary and for the weights: texts are matched once
+            tokens = cut_lineage(tokens)
         vocab = T.vocabulary_of_tokens(tokens, words, min_df=get("minDF"), max_df=get("maxDF"), vocab_size=get("vocabSize")).orderBy("term_id")
         rows = vocab.collect()  # at most vocabSize rows
         if not rows:
@@ -84,6 +90,7 @@ class TextPipeline(_TextParams, Estimator, DefaultParamsReadable, DefaultParamsW
                                                            minTF=get("minTF"), binary=get("binary")))
         if get("useIDF"):
             stages.append(IDF(inputCol=counted, outputCol=get("outputCol")).fit(stages[-1].transform(tokens)))
+            drop_state(tokens)
         model = TextPipelineModel(PipelineModel(stages), dataset.sparkSession.createDataFrame(rows, vocab.schema))
         return self._copyValues(model)
 
@@ -132,8 +139,18 @@ class _Reader(MLReader):
 
 
 def terms_of_vectors(docs: DataFrame, id_col: str, vocabulary: DataFrame, vector_col: str = S.VECTORIZED) -> DataFrame:
-    """(id, term_id, term, weight) of sparse vectors, without making them dense."""
-    parts = F.from_json(F.to_json(F.struct(F.col(vector_col).alias("v"))), "v struct<indices:array<int>,values:array<double>>")
-    long = docs.select(id_col, parts.alias("_p")).select(id_col, F.explode(F.arrays_zip("_p.v.indices", "_p.v.values")).alias("_z"))
-    return (long.select(id_col, F.col("_z.indices").alias("term_id"), F.col("_z.values").alias("weight"))
-            .join(vocabulary.select("term_id", "term"), "term_id").select(id_col, "term_id", "term", "weight"))
+    """(id, term_id, term, weight) of sparse vectors, without making them dense; their entries leave the tasks as Arrow lists."""
+    def entries(batches):
+        for batch in batches:
+            v = batch.column(1)
+            v = v.storage if isinstance(v, pa.ExtensionArray) else v
+            own = v.is_valid().to_numpy(False) & v.field("indices").is_valid().to_numpy(False)
+            rows = np.flatnonzero(own)
+            lists = v.take(pa.array(rows))
+            ids, weights = lists.field("indices"), lists.field("values")
+            at = np.repeat(rows, ids.value_lengths().to_numpy(False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.flatten(), weights.flatten()], [id_col, "term_id", "weight"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    long = docs.select(id_col, vector_col).mapInArrow(entries, f"`{id_col}` {kind}, term_id int, weight double")
+    return long.join(vocabulary.select("term_id", "term"), "term_id").select(id_col, "term_id", "term", "weight")
