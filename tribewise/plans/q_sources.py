@@ -28,7 +28,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _dumped(spark: SparkSession, rows: DataFrame, name: str) -> str:
     path = _folder(spark, name)
-    rows.withColumn("undeclared", F.lit(1)).write.option("compression", "bzip2").json(path)
+    K.write_dump(rows.withColumn("undeclared", F.lit(1)), path)
     return path
 
 
